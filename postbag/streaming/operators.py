@@ -34,7 +34,6 @@ def stream_decisions(
     key: str = "message_id",
     timeout_seconds: int = S.REVIEW_SECONDS,
     accepts: Column | None = None,
-    bucket: str = "1 hour",
 ) -> DataFrame:
     """Each draft with its first accepted key within the time limit, once the limit has passed.
 
@@ -53,11 +52,11 @@ def stream_decisions(
     first = F.min(F.when(F.col("at").isNotNull(), F.struct("at", "pressed"))).alias("_first")
     return (
         waiting.join(presses, in_time, "left_outer")
-        .groupBy(F.window("drafted_at", bucket), F.col("_id"), F.col("drafted_at").alias("_drafted"))
+        .groupBy("_id", "drafted_at")
         .agg(first)
         .select(
             F.col("_id").alias(key),
-            F.col("_drafted").alias("drafted_at"),
+            F.col("drafted_at"),
             F.col("_first.at").alias("decided_at"),
             F.col("_first.pressed").alias("pressed"),
             label_decision(F.col("_first.pressed")).alias("decision"),
