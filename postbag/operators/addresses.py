@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postbag import schema as S
 from postbag.functions.text import infer_email
-from postbag.operators.skew import HOT_ROWS, SAMPLE_ONE_IN, salted_join
+from postbag.operators.skew import salted_join
 
 
 def select_contact_fields(raw: DataFrame, *keep: str) -> DataFrame:
@@ -35,13 +35,10 @@ def resolve_address(
     contacts: DataFrame,
     on_file: DataFrame,
     spread: Sequence[str] = ("row_pos",),
-    hot_rows: int = HOT_ROWS,
-    sample_one_in: int = SAMPLE_ONE_IN,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """An address on file (``profile_url, on_file``) wins, then the supplied, then the inferred one."""
-    joined = salted_join(
-        contacts, on_file, ["profile_url"], spread, "left", hot_rows, sample_one_in
-    )
+    joined = salted_join(contacts, on_file, ["profile_url"], spread, "left", hot)
     inferred = infer_email(F.col("first_name"), F.col("last_name"), F.col("company"))
     source = (
         F.when(F.col("on_file").isNotNull(), "on_file")

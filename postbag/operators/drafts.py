@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postbag import workspace
 from postbag.functions.text import default_if_blank, fill_template, strip
-from postbag.operators.skew import HOT_ROWS, SAMPLE_ONE_IN, salted_join
+from postbag.operators.skew import HOT_ROWS, hottest, salted_join
 
 Messages = list[tuple[str, str]]
 Model = Callable[[list[Messages]], list[str]]
@@ -90,51 +90,73 @@ def _answer(model: Model, prompts: list[Messages]) -> list[tuple[str | None, str
         return [answer for p in prompts for answer in _answer(model, [p])]
 
 
-def complete(
-    df: DataFrame,
-    messages: Column,
+def ask_model(
+    asked: DataFrame,
     make_model: Callable[[], Model],
-    out: str,
-    spread: Sequence[str],
     batch: int = 32,
     parallelism: int | None = None,
     path: str | None = None,
-    hot_rows: int = HOT_ROWS,
-    sample_one_in: int = SAMPLE_ONE_IN,
+    label: str = "answers",
 ) -> DataFrame:
-    """Add ``out``, a ``struct<value, error>``: the model's answer to ``messages``.
+    """``_prompt, _rows, _value, _error`` for every distinct text of ``asked``'s column ``_asked``.
 
-    ``make_model`` is called once per task and gives a function from a list of prompts to a list
-    of answers. Equal prompts are asked once. The answers are written to the shared folder before
-    anything is built on them, so that a task lost later does not ask again. Rows whose messages
-    are NULL are not asked.
+    ``_prompt`` is the digest of the text, ``_rows`` the number of rows that share it. The answers
+    are written to the shared folder before anything is built on them, so that a task lost later
+    does not ask again.
     """
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for frame in frames:
-            prompts = [[(m["role"], m["content"]) for m in json.loads(p)] for p in frame["_asked"]]
+            prompts = [[(m["role"], m.get("content", "")) for m in json.loads(p)] for p in frame["_asked"]]
             answers: list[tuple[str | None, str | None]] = []
             for i in range(0, len(prompts), batch):
                 answers += _answer(model, prompts[i : i + batch])
             yield pd.DataFrame(
                 {
                     "_prompt": frame["_prompt"],
+                    "_rows": frame["_rows"],
                     "_value": pd.Series([a[0] for a in answers], dtype=object, index=frame.index),
                     "_error": pd.Series([a[1] for a in answers], dtype=object, index=frame.index),
                 }
             )
 
-    asked = F.to_json(messages)
-    keyed = df.withColumn("_prompt", F.sha2(asked, 256))
-    prompts = df.select(asked.alias("_asked")).where(F.col("_asked").isNotNull()).distinct()
-    prompts = prompts.select(F.sha2("_asked", 256).alias("_prompt"), "_asked")
+    prompts = (
+        asked.where(F.col("_asked").isNotNull())
+        .groupBy("_asked")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(F.sha2("_asked", 256).alias("_prompt"), "_rows", "_asked")
+    )
     if parallelism:
         prompts = prompts.repartition(parallelism, "_prompt")
-    answered = workspace.keep(
-        prompts.mapInPandas(ask, "_prompt string, _value string, _error string"), f"answers-{out}", path
+    answered = prompts.mapInPandas(ask, "_prompt string, _rows bigint, _value string, _error string")
+    return workspace.keep(answered, label, path)
+
+
+def complete(
+    df: DataFrame,
+    messages: Column,
+    make_model: Callable[[], Model],
+    out: str,
+    spread: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    **options,
+) -> DataFrame:
+    """Add ``out``, a ``struct<value, error>``: the model's answer to ``messages``.
+
+    ``make_model`` is called once per task and gives a function from a list of prompts to a list
+    of answers. Equal prompts are asked once. Rows whose messages are NULL are not asked.
+    """
+    asked = F.to_json(messages)
+    answered = ask_model(df.select(asked.alias("_asked")), make_model, label=f"answers-{out}", **options)
+    joined = salted_join(
+        df.withColumn("_prompt", F.sha2(asked, 256)),
+        answered.drop("_rows"),
+        ["_prompt"],
+        spread,
+        "left",
+        hottest(answered, ["_prompt"], "_rows", hot_rows),
     )
-    joined = salted_join(keyed, answered, ["_prompt"], spread, "left", hot_rows, sample_one_in)
     answer = F.struct(F.col("_value").alias("value"), F.col("_error").alias("error"))
     return joined.withColumn(out, answer).drop("_prompt", "_value", "_error")
 
@@ -142,7 +164,7 @@ def complete(
 def personalize(
     df: DataFrame,
     make_model: Callable[[], Model],
-    spread: Sequence[str],
+    ids: Sequence[str],
     page_text: str = "page_text",
     user_prompt: Column | None = None,
     instructions: Column | None = None,
@@ -150,23 +172,36 @@ def personalize(
 ) -> DataFrame:
     """Add ``summary, body, subject, error``: page to summary, summary to body, body to subject.
 
-    A step that failed leaves its error; the steps after it are not asked.
+    ``ids`` name one row each. A step that failed leaves its error; the steps after it are not
+    asked. The steps pass on ids and answers only, each written before the next one starts, and
+    the rows themselves are joined once, at the end.
     """
-    df = complete(df, summary_messages(F.col(page_text)), make_model, "_summary", spread, **options)
-    summary = F.col("_summary.value")
-    mail = F.when(summary.isNotNull(), mail_messages(summary, user_prompt, instructions))
-    df = complete(df, mail, make_model, "_mail", spread, **options)
-    body = F.col("_mail.value")
-    subject = F.when(body.isNotNull(), subject_messages(body))
-    df = complete(df, subject, make_model, "_subject", spread, **options)
-    return df.withColumns(
-        {
-            "summary": summary,
-            "body": body,
-            "subject": F.col("_subject.value"),
-            "error": F.coalesce("_summary.error", "_mail.error", "_subject.error"),
-        }
-    ).drop("_summary", "_mail", "_subject")
+    ids = list(ids)
+    none = F.lit(None).cast("string")
+
+    def step(rows: DataFrame, messages: Column, out: str) -> DataFrame:
+        done = complete(rows, messages, make_model, "_answer", ids, **options)
+        error = F.col("_answer.error")
+        if "_failed" in rows.columns:
+            error = F.coalesce("_failed", error)
+        return done.withColumns({out: F.col("_answer.value"), "_failed": error}).drop("_answer")
+
+    start = df.select(
+        *ids,
+        F.col(page_text).alias("_page"),
+        (none if user_prompt is None else user_prompt).alias("_request"),
+        (none if instructions is None else instructions).alias("_instructions"),
+    )
+    summary = F.when(F.col("_page").isNotNull(), summary_messages(F.col("_page")))
+    rows = step(start, summary, "summary").drop("_page")
+    rows = workspace.keep(rows, "summaries")
+    mail = mail_messages(F.col("summary"), F.col("_request"), F.col("_instructions"))
+    mail = F.when(F.col("summary").isNotNull(), mail)
+    rows = step(rows, mail, "body").drop("_request", "_instructions")
+    rows = workspace.keep(rows, "bodies")
+    subject = F.when(F.col("body").isNotNull(), subject_messages(F.col("body")))
+    rows = step(rows, subject, "subject").withColumnRenamed("_failed", "error")
+    return df.join(rows, ids)
 
 
 def placeholders(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postbag import schema as S
-from postbag.operators.skew import HOT_ROWS, SAMPLE_ONE_IN, salted_join
+from postbag.operators.skew import salted_join
 
 
 def append_log(log: DataFrame, *more: DataFrame) -> DataFrame:
@@ -41,8 +41,7 @@ def run_history(
     runs: DataFrame,
     messages: DataFrame,
     spread: Sequence[str] = ("message_id",),
-    hot_rows: int = HOT_ROWS,
-    sample_one_in: int = SAMPLE_ONE_IN,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Every run with its messages; a run without messages once, with NULLs.
 
@@ -50,19 +49,18 @@ def run_history(
     """
     both = (set(runs.columns) & set(messages.columns)) - {"run_id"}
     runs = runs.withColumnsRenamed({c: f"run_{c}" for c in both})
-    return salted_join(messages, runs, ["run_id"], spread, "right", hot_rows, sample_one_in)
+    return salted_join(messages, runs, ["run_id"], spread, "right", hot)
 
 
 def orphan_messages(
     messages: DataFrame,
     runs: DataFrame,
     spread: Sequence[str] = ("message_id",),
-    hot_rows: int = HOT_ROWS,
-    sample_one_in: int = SAMPLE_ONE_IN,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Messages whose run is not in the run log."""
     known = runs.select("run_id").distinct()
-    return salted_join(messages, known, ["run_id"], spread, "left_anti", hot_rows, sample_one_in)
+    return salted_join(messages, known, ["run_id"], spread, "left_anti", hot)
 
 
 def run_summary(messages: DataFrame, states: Mapping[str, str] | None = None) -> DataFrame:

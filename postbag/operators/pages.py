@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from postbag import schema as S
 from postbag.functions.html import element_text, element_text_parsed, first_match
-from postbag.operators.skew import HOT_ROWS, SAMPLE_ONE_IN, salted_join
+from postbag.operators.skew import salted_join
 
 
 def contact_pages(
     contacts: DataFrame,
     pages: DataFrame,
     spread: Sequence[str] = ("row_pos",),
-    hot_rows: int = HOT_ROWS,
-    sample_one_in: int = SAMPLE_ONE_IN,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Each contact with the page at its URL, NULLs if none is stored. One page per URL."""
     at_url = pages.withColumnRenamed("url", "profile_url")
-    return salted_join(contacts, at_url, ["profile_url"], spread, "left", hot_rows, sample_one_in)
+    return salted_join(contacts, at_url, ["profile_url"], spread, "left", hot)
 
 
 def with_page_text(pages: DataFrame, tag: str = "main", parsed: bool = False) -> DataFrame:

@@ -27,13 +27,16 @@ def hot_keys(
     if sample_one_in > 1:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(17), *keys, *spread), F.lit(sample_one_in)) == 0)
     share = max(hot_rows / sample_one_in, 1.0)
+    return hottest(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", share)
+
+
+def hottest(counts: DataFrame, keys: Sequence[str], n: str, share: float = HOT_ROWS) -> DataFrame:
+    """As ``hot_keys``, from counts per key there are already."""
     return (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= share)
-        .orderBy(F.col("_n").desc(), *keys)
+        counts.where(F.col(n) >= share)
+        .orderBy(F.col(n).desc(), *keys)
         .limit(MAX_HOT_KEYS)
-        .select(*keys, (F.ceil(F.col("_n") / F.lit(share)) + 1).cast("int").alias("_slices"))
+        .select(*keys, (F.ceil(F.col(n) / F.lit(float(share))) + 1).cast("int").alias("_slices"))
     )
 
 
@@ -47,20 +50,20 @@ def salted_join(
     keys: Sequence[str],
     spread: Sequence[str],
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    sample_one_in: int = SAMPLE_ONE_IN,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows to the one row of ``dims`` that shares their ``keys``.
 
     ``spread`` names columns of ``facts`` that differ between rows of one key. Rows of a hot key
     are cut into slices by them, and the key's single row in ``dims`` is copied once per slice; all
     other rows join as usual. ``how``: ``inner``, ``left`` and ``left_anti`` keep the side of
-    ``facts``, ``right`` keeps every row of ``dims``.
+    ``facts``, ``right`` keeps every row of ``dims``. ``hot`` comes from ``hot_keys`` and is measured
+    on ``facts`` if not given; give it where ``facts`` is itself the result of long work.
     """
     if how not in ("inner", "left", "left_anti", "right"):
         raise ValueError(f"unsupported join type: {how}")
     keys = list(keys)
-    hot = F.broadcast(hot_keys(facts, keys, spread, hot_rows, sample_one_in))
+    hot = F.broadcast(hot_keys(facts, keys, spread) if hot is None else hot)
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()

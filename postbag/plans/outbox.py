@@ -50,7 +50,13 @@ def draft_messages(
         **{name: F.lit(text).cast("string") for name, text in texts.items()},
         **options,
     )
-    return isolate_errors(written, {"No address could be inferred.": F.col("address").isNull()})
+    return isolate_errors(
+        written,
+        {
+            "No address could be inferred.": F.col("address").isNull(),
+            "No page is stored.": F.col("page_id").isNull(),
+        },
+    )
 
 
 def outcomes(

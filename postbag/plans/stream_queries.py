@@ -71,7 +71,7 @@ def _with_end(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
         .alias(f.name)
         for f in rows.schema.fields
     ]
-    spark.range(1).select(*last).write.parquet(path)
+    spark.range(0, 1, 1, 1).select(*last).write.parquet(path)
     return with_event_time(rows.unionByName(stream_table(spark, path, T.StructType(rows.schema.fields))))
 
 

@@ -40,7 +40,7 @@ def _one_row(spark: SparkSession, schema, **values: Column | str | int | None) -
         value = values.get(field.name)
         cell = value if isinstance(value, Column) else F.lit(value)
         cells.append(cell.cast(field.dataType).alias(field.name))
-    return spark.range(1).select(*cells)
+    return spark.range(0, 1, 1, 1).select(*cells)
 
 
 def run_row(

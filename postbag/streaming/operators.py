@@ -44,10 +44,14 @@ def stream_decisions(
     presses = decisions.where(ends_review(F.col("key")) if accepts is None else accepts).select(
         F.col(key).alias("_of"), F.col("ts").alias("at"), F.col("key").alias("pressed")
     )
+    # Spark drops old state by the second bound. It adds whole days of the session zone, so it has
+    # a day to spare for changes of the clock, and the limit itself is checked on microseconds.
+    bound = F.expr(f"INTERVAL {int(timeout_seconds) + 86_400} SECONDS")
     in_time = (
         (F.col("_id") == F.col("_of"))
         & (F.col("at") > F.col("drafted_at"))
-        & (F.col("at") <= F.col("drafted_at") + F.expr(f"INTERVAL {int(timeout_seconds)} SECONDS"))
+        & (F.unix_micros("at") <= F.unix_micros("drafted_at") + int(timeout_seconds) * 1_000_000)
+        & (F.col("at") <= F.col("drafted_at") + bound)
     )
     first = F.min(F.when(F.col("at").isNotNull(), F.struct("at", "pressed"))).alias("_first")
     return (
