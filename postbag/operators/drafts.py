@@ -173,7 +173,7 @@ def personalize(
     """Add ``summary, body, subject, error``: page to summary, summary to body, body to subject.
 
     ``ids`` name one row each. A step that failed leaves its error; the steps after it are not
-    asked. The steps pass on ids and answers only, each written before the next one starts, and
+    asked, nor is any step for a row that comes with an ``error``. The steps pass on ids and answers only, each written before the next one starts, and
     the rows themselves are joined once, at the end.
     """
     ids = list(ids)
@@ -186,9 +186,10 @@ def personalize(
             error = F.coalesce("_failed", error)
         return done.withColumns({out: F.col("_answer.value"), "_failed": error}).drop("_answer")
 
+    sound = F.col("error").isNull() if "error" in df.columns else F.lit(True)
     start = df.select(
         *ids,
-        F.col(page_text).alias("_page"),
+        F.when(sound, F.col(page_text)).alias("_page"),
         (none if user_prompt is None else user_prompt).alias("_request"),
         (none if instructions is None else instructions).alias("_instructions"),
     )
@@ -201,6 +202,9 @@ def personalize(
     rows = workspace.keep(rows, "bodies")
     subject = F.when(F.col("body").isNotNull(), subject_messages(F.col("body")))
     rows = step(rows, subject, "subject").withColumnRenamed("_failed", "error")
+    if "error" in df.columns:
+        before = df.withColumnRenamed("error", "_before")
+        return before.join(rows, ids).withColumn("error", F.coalesce("_before", "error")).drop("_before")
     return df.join(rows, ids)
 
 

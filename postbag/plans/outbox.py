@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postbag import workspace
 from postbag.functions.clock import send_after
 from postbag.operators.addresses import resolve_address, with_address
 from postbag.operators.drafts import Model, personalize
@@ -41,22 +42,21 @@ def draft_messages(
 ) -> DataFrame:
     """Every contact of a run with ``page_text, profile_id, body, subject`` and its own ``error``."""
     text_and_id = with_profile_id(with_page_text(pages, tag, parsed)).drop("html")
-    found = contact_pages(with_address(contacts), text_and_id)
+    # Written once: the model steps read it several times, and parsing pages is slow.
+    found = workspace.keep(contact_pages(with_address(contacts), text_and_id), "found")
+    checks = {
+        "No address could be inferred.": F.col("address").isNull(),
+        "No page is stored.": F.col("page_id").isNull(),
+    }
     texts = {"user_prompt": user_prompt, "instructions": instructions}
     written = personalize(
-        found,
+        isolate_errors(found, checks),
         make_model,
         ("run_id", "row_pos"),
         **{name: F.lit(text).cast("string") for name, text in texts.items()},
         **options,
     )
-    return isolate_errors(
-        written,
-        {
-            "No address could be inferred.": F.col("address").isNull(),
-            "No page is stored.": F.col("page_id").isNull(),
-        },
-    )
+    return isolate_errors(written, {})
 
 
 def outcomes(

@@ -1,6 +1,14 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import SparkSession
 
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
+# Stand-in models live in the test files, which the Python workers look up by name.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH")]))
+
 
 @pytest.fixture(scope="session")
 def spark():
