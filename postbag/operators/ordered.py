@@ -14,9 +14,30 @@ from pyspark.sql import functions as F
 SHIFTS = (18, 40)
 
 
+_BLANKS = {"string": "", "boolean": "false", "date": "1970-01-01"}
+
+
+def _run_keys(df: DataFrame, run: Sequence[str]) -> dict[str, Column]:
+    """Columns without NULLs that are equal just where the run columns are, NULL being one value.
+
+    Plain columns sort and hash faster than a struct of them, which is left for other types.
+    """
+    kinds = dict(df.dtypes)
+    keys = {}
+    for i, name in enumerate(run):
+        kind = kinds[name]
+        if "<" in kind or kind in ("binary", "variant"):
+            keys[f"_r{i}"] = F.struct(name)
+            continue
+        blank = _BLANKS.get(kind, "1970-01-01" if kind.startswith("timestamp") else "0")
+        keys[f"_r{i}"] = F.coalesce(F.col(name), F.lit(blank).cast(kind))
+        keys[f"_n{i}"] = F.col(name).isNull()
+    return keys
+
+
 def _carry(
     df: DataFrame,
-    run: Column,
+    run: Sequence[str],
     position: Column,
     value: Column,
     out: str,
@@ -27,10 +48,10 @@ def _carry(
 ) -> DataFrame:
     """``total`` of ``value`` over the rows before (or after) each row's position in its run.
 
-    Runs compare as structs, so that a NULL run is a run like any other. A row without a position
-    gets NULL.
+    A NULL run is a run like any other; a row without a position gets NULL.
     """
-    rows = df.withColumns({"_run": run, "_pos": position, "_val": value})
+    keys = _run_keys(df, run)
+    rows = df.withColumns({**keys, "_pos": position, "_val": value})
     placed = F.shiftright("_pos", shifts[0])
     # Rows without a position are before and after nothing; they are spread over leaves no
     # position can fall into, since there may be many of them.
@@ -43,17 +64,16 @@ def _carry(
     # Level 0 looks at rows, level i at totals of level i - 1.
     level = (
         rows.where(F.col("_pos").isNotNull())
-        .groupBy("_run", placed.alias("_k0"))
+        .groupBy(*keys, placed.alias("_k0"))
         .agg(total(F.col("_val")).alias("_t"))
     )
     carried = None
     for i, shift in enumerate(shifts):
         key, above = f"_k{i}", f"_k{i + 1}"
+        groups = list(keys)
         last = i + 1 == len(shifts)
-        step = None if last else shifts[i + 1] - shift
-        groups = ["_run"]
         if not last:
-            level = level.withColumn(above, F.shiftright(key, step))
+            level = level.withColumn(above, F.shiftright(key, shifts[i + 1] - shift))
             groups.append(above)
         w = (
             Window.partitionBy(*groups)
@@ -61,17 +81,14 @@ def _carry(
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         sums = level.withColumn(f"_c{i}", total(F.col("_t")).over(w)).drop("_t")
+        carried = sums if carried is None else carried.join(sums, [*keys, key])
         if not last:
-            upper = level.groupBy("_run", above).agg(total(F.col("_t")).alias("_t"))
-        carried = sums if carried is None else carried.join(sums, ["_run", key])
-        if not last:
-            level = upper
+            level = level.groupBy(*groups).agg(total(F.col("_t")).alias("_t"))
     parts = [F.col(f"_c{i}") for i in range(len(shifts))]
-    carried = carried.select(
-        "_run", F.col("_k0").alias("_leaf"), (merge(*parts) if len(parts) > 1 else parts[0]).alias("_carried")
-    )
+    whole = merge(*parts) if len(parts) > 1 else parts[0]
+    carried = carried.select(*keys, F.col("_k0").alias("_leaf"), whole.alias("_carried"))
     here = (
-        Window.partitionBy("_run", "_leaf")
+        Window.partitionBy(*keys, "_leaf")
         .orderBy(direction("_pos"))
         .rangeBetween(Window.unboundedPreceding, -1)
     )
@@ -79,9 +96,9 @@ def _carry(
     return (
         rows.withColumn("_leaf", F.coalesce(placed, astray))
         .withColumn("_here", total(F.col("_val")).over(here))
-        .join(carried, ["_run", "_leaf"], "left")
+        .join(carried, [*keys, "_leaf"], "left")
         .withColumn(out, found)
-        .drop("_run", "_leaf", "_pos", "_val", "_here", "_carried")
+        .drop(*keys, "_leaf", "_pos", "_val", "_here", "_carried")
     )
 
 
@@ -102,7 +119,7 @@ def sum_before(
         return added
 
     return _carry(
-        df, F.struct(*run), F.col(position), value.cast("bigint"), out, F.sum, merge, False, shifts
+        df, run, F.col(position), value.cast("bigint"), out, F.sum, merge, False, shifts
     )
 
 
@@ -115,7 +132,7 @@ def least_after(
     shifts: Sequence[int] = SHIFTS,
 ) -> DataFrame:
     """Least ``value`` over the rows of the same run at a later position; NULL if there is none."""
-    return _carry(df, F.struct(*run), position, value, out, F.min, F.least, True, shifts)
+    return _carry(df, run, position, value, out, F.min, F.least, True, shifts)
 
 
 def row_position(
