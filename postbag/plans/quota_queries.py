@@ -76,9 +76,9 @@ def row_positions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def row_slice(spark: SparkSession, folder: str) -> DataFrame:
-    """The second hundred contacts of each run."""
+    """The eleventh to the thirtieth contact of each run."""
     contacts = customer_contacts(spark, folder).withColumnRenamed("row_pos", "custkey")
-    return slice_rows(row_position(contacts, ["run_id"], "custkey"), 100, 100).select(
+    return slice_rows(row_position(contacts, ["run_id"], "custkey"), 10, 20).select(
         "run_id", "custkey", "row_pos"
     )
 
@@ -122,7 +122,7 @@ def campaign_days(spark: SparkSession, folder: str) -> DataFrame:
     return planned.groupBy("run_id", "send_day", "send_after").agg(
         F.count(F.lit(1)).alias("messages"),
         F.count_if(F.col("address_is_inferred")).alias("inferred"),
-        F.min("address").alias("first_address"),
+        F.min("row_pos").alias("first_row"),
     )
 
 
@@ -168,7 +168,7 @@ _PLANNED = f"""
 SQL = {
     "campaign_days": f"""{_PLANNED}
       SELECT run_id, send_day, send_after, count(*) AS messages,
-             count(*) FILTER (WHERE address_is_inferred) AS inferred, min(address) AS first_address
+             count(*) FILTER (WHERE address_is_inferred) AS inferred, min(row_pos) AS first_row
       FROM timed GROUP BY ALL""",
     "sent_on_day": f"""
       SELECT 'UTC' AS counted, count(*) AS sent FROM events WHERE CAST(ts AS DATE) = DATE '{DAY}'
@@ -197,7 +197,7 @@ SQL = {
     "row_slice": """
       SELECT * FROM (SELECT c_mktsegment AS run_id, c_custkey AS custkey,
              row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS row_pos FROM customer)
-      WHERE row_pos >= 100 AND row_pos < 200""",
+      WHERE row_pos >= 10 AND row_pos < 30""",
     "send_window": f"""
       SELECT event_id, {_cet('ts')} AS local_ts, {_NEXT} AS next_start,
              ({sql_micros(_NEXT)} - {sql_micros('ts')}) / CAST(1000000 AS DOUBLE) AS wait_seconds,

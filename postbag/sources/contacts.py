@@ -17,6 +17,12 @@ def na_to_null(c: Column) -> Column:
     return F.when(~c.isin(*S.NA_TOKENS), c)
 
 
+def misfit(record: Column, width: int) -> Column:
+    """The record if it has more cells than the header; a short one just lacks its last cells."""
+    unquoted = F.regexp_replace(record, r'"[^"]*"', "")
+    return F.when(F.size(F.split(unquoted, ",")) > width, record)
+
+
 def csv_options(multi_line: bool = True) -> dict[str, str]:
     return {
         "header": "true",
@@ -73,16 +79,33 @@ def _with_row_pos(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_contacts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def clean_contacts(raw: DataFrame, width: int, *keep: str) -> DataFrame:
+    """Contact fields under our names, missing values as NULL, and ``error`` for rows that do not fit."""
+    contacts = select_contact_fields(raw, *keep, CORRUPT)
+    cleaned = {name: na_to_null(F.col(name)) for name in S.CONTACT_HEADERS.values()}
+    return contacts.withColumns({**cleaned, "error": misfit(F.col(CORRUPT), width)}).drop(CORRUPT)
+
+
+def read_contacts(
+    spark: SparkSession, path: str, multi_line: bool = True, gapless: bool = True
+) -> DataFrame:
     """``file_name, row_pos``, the contact fields, and ``error`` for rows that could not be parsed.
 
-    Quoted cells may span lines, for which a file must be read by one task; ``multi_line=False``
-    lets Spark split files that have no such cells.
+    Quoted cells may span lines, for which a file must be read by one task; a break inside a cell
+    comes back as a line feed. ``multi_line=False`` lets Spark split files that have no such cells.
+    With ``gapless=False`` positions are in file order but do not start at 0, which spares the
+    second pass over the files.
     """
     raw = require_columns(read_raw(spark, path, multi_line))
-    contacts = select_contact_fields(_with_row_pos(raw), "file_name", "row_pos", CORRUPT)
-    cleaned = {name: na_to_null(F.col(name)) for name in S.CONTACT_HEADERS.values()}
-    return contacts.withColumns(cleaned).withColumnRenamed(CORRUPT, "error")
+    width = len(raw.columns) - 1
+    if gapless:
+        rows = _with_row_pos(raw)
+    elif multi_line:
+        in_task = F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_TASK))
+        rows = raw.withColumns({"file_name": F.col("_metadata.file_path"), "row_pos": in_task})
+    else:
+        raise ValueError("rows of a split file can only be numbered without gaps")
+    return clean_contacts(rows, width, "file_name", "row_pos")
 
 
 def load_or_reject(

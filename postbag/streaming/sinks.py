@@ -49,17 +49,58 @@ def upsert_sink(
     )
 
 
+def _with_batch(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+
+
+def _latest_upserts(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    keys: Sequence[str],
+    order: Sequence[str],
+    base: str | None,
+) -> DataFrame:
+    rows = spark.read.schema(_with_batch(schema)).parquet(path)
+    if base:
+        old = spark.read.schema(_with_batch(schema)).parquet(base)
+        last = old.agg(F.max(BATCH)).scalar()
+        rows = rows.where(F.col(BATCH) > F.coalesce(last, F.lit(-1))).unionByName(old)
+    return latest_by_key(rows, keys, order)
+
+
 def read_upserts(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
     keys: Sequence[str],
     order: Sequence[str] = (BATCH,),
+    base: str | None = None,
 ) -> DataFrame:
-    """Current row per key of a table written by ``upsert_sink``."""
-    with_batch = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-    rows = spark.read.schema(with_batch).parquet(path)
-    return latest_by_key(rows, keys, order).drop(BATCH)
+    """Current row per key of a table written by ``upsert_sink``.
+
+    ``base`` names a table made by ``compact_upserts``; only later batches are read beside it.
+    """
+    return _latest_upserts(spark, path, schema, keys, order, base).drop(BATCH)
+
+
+def compact_upserts(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    keys: Sequence[str],
+    target: str,
+    order: Sequence[str] = (BATCH,),
+    base: str | None = None,
+) -> None:
+    """Write the current row per key to ``target``, so that reading need not go over all batches.
+
+    The newest batch must be complete: call it between runs of the stream.
+    """
+    newest = F.max(BATCH).alias(BATCH)
+    last = spark.read.schema(_with_batch(schema)).parquet(path).agg(newest).scalar()
+    current = _latest_upserts(spark, path, schema, keys, order, base)
+    current.withColumn(BATCH, last).write.mode("overwrite").parquet(target)
 
 
 def stream_run_status(

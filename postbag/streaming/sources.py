@@ -6,8 +6,7 @@ from pyspark.sql import types as T
 
 from postbag import schema as S
 from postbag.functions.clock import utc_instant
-from postbag.operators.addresses import select_contact_fields
-from postbag.sources.contacts import CORRUPT, csv_options, na_to_null
+from postbag.sources.contacts import CORRUPT, clean_contacts, csv_options
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
@@ -38,6 +37,4 @@ def stream_contacts(spark: SparkSession, folder: str, headers: list[str] | None
         .csv(folder)
         .withColumn("file_name", F.col("_metadata.file_path"))
     )
-    contacts = select_contact_fields(raw, "file_name", CORRUPT)
-    cleaned = {name: na_to_null(F.col(name)) for name in S.CONTACT_HEADERS.values()}
-    return contacts.withColumns(cleaned).withColumnRenamed(CORRUPT, "error")
+    return clean_contacts(raw, len(names), "file_name")

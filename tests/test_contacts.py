@@ -114,3 +114,26 @@ def test_address_on_file_wins(spark, contact_file):
     assert len(rows) == 10
     assert got["u1"] == ("old@x.org", "on_file") and got["u7"] == ("known@y.org", "on_file")
     assert got["u8"] == ("  ", "supplied") and got["u2"][1] == "inferred" and got["u6"] == (None, None)
+
+
+def test_short_rows_blank_lines_and_byte_order_marks(spark, tmp_path):
+    path = tmp_path / "short.csv"
+    path.write_bytes(("\ufeff" + HEADER.strip() + '\r\nu1\r\n\r\nu2,"a,b@c"\r\nu3,a@b,c,d,"e\r\nf"\r\nu4,"x,y",1,2,3,4\r\n' + f'u5,"{"long, " * 5000}""q"" x"\r\n').encode())
+    rows = read_contacts(spark, str(path)).orderBy("row_pos").collect()
+    got = [(r.profile_url, r.email, r.company, r.error is None) for r in rows]
+    assert got.pop() == ("u5", "long, " * 5000 + '"q" x', None, True)
+    assert got == [
+        ("u1", None, None, True),
+        ("u2", "a,b@c", None, True),
+        ("u3", "a@b", "e\nf", True),
+        ("u4", "x,y", "3", False),
+    ]
+    assert [r.row_pos for r in rows] == [0, 1, 2, 3, 4]
+
+
+def test_positions_in_file_order_without_a_second_pass(spark, contact_file):
+    contacts = read_contacts(spark, contact_file, gapless=False)
+    assert [r.profile_url for r in contacts.orderBy("row_pos").collect()] == [f"u{i}" for i in range(1, 11)]
+    assert "Aggregate" not in contacts._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        read_contacts(spark, contact_file, multi_line=False, gapless=False)

@@ -73,6 +73,28 @@ def test_status_changes_replay_to_the_same_state(spark):
     assert run(out + "-c2") == [("r", 3, "Completed")]
 
 
+def test_compaction_changes_nothing(spark):
+    inbox, out = workspace.fresh(spark, "inbox"), workspace.fresh(spark, "states")
+
+    def arrive(*cells):
+        rows(spark, *cells).write.mode("append").parquet(inbox)
+        stream = sources.stream_table(spark, inbox, schema(spark))
+        sinks.run_to_end(sinks.stream_run_status(stream, out, out + "-c", ["kind"], ["event_id"]))
+
+    def state(base=None):
+        read = sinks.read_upserts(spark, out, schema(spark), ["kind"], ["event_id"], base)
+        return sorted((r.kind, r.event_id) for r in read.collect())
+
+    arrive((1, "2024-01-01", "a"), (5, "2024-01-01", "b"))
+    arrive((4, "2024-01-01", "b"), (6, "2024-01-01", "a"))
+    sinks.compact_upserts(spark, out, schema(spark), ["kind"], out + "-base", ["event_id"])
+    assert state(out + "-base") == state() == [("a", 6), ("b", 5)]
+    arrive((7, "2024-01-01", "b"), (2, "2024-01-01", "c"))
+    assert state(out + "-base") == state() == [("a", 6), ("b", 7), ("c", 2)]
+    sinks.compact_upserts(spark, out, schema(spark), ["kind"], out + "-base2", ["event_id"], out + "-base")
+    assert state(out + "-base2") == [("a", 6), ("b", 7), ("c", 2)]
+
+
 def test_one_file_or_a_folder(spark, sf):
     for path in (f"{sf}/events.parquet", workspace.keep(spark.read.parquet(f"{sf}/events.parquet"), "e").inputFiles()[0].rsplit("/", 1)[0]):
         table = spark.read.parquet(path)
