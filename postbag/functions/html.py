@@ -67,7 +67,9 @@ def json_path_value(body: Column, key: str = S.ID_MARKER) -> Column:
 
 def first_match(html: Column, key: str = S.ID_MARKER, tag: str = "code") -> Column:
     """Id from the first ``<tag>``, in page order, that yields one."""
-    bodies = F.filter(element_bodies(html, tag), lambda b: contains_marker(b, key))
+    # Most pages of a crawl hold no such data; they are told apart before any pattern is tried.
+    marked = F.when(contains_marker(html, key), html)
+    bodies = F.filter(element_bodies(marked, tag), lambda b: contains_marker(b, key))
     ids = F.transform(bodies, lambda b: split_last(json_path_value(b, key)))
     return F.nullif(F.get(F.filter(ids, lambda i: i.isNotNull()), F.lit(0)), F.lit(""))
 

@@ -79,27 +79,31 @@ def _sql_chat(*turns: tuple[str, str]) -> str:
     return " || chr(10) || ".join(f"'{role}: ' || {text}" for role, text in turns)
 
 
-def _sql_summary(text: str) -> str:
+def sql_summary(text: str) -> str:
     return _sql_chat(("system", sql_text(D.SUMMARY_SYSTEM)), ("human", text))
 
 
-def _sql_mail(summary: str, request: str) -> str:
+def sql_mail(summary: str, request: str, instructions: str) -> str:
     return _sql_chat(
         ("system", sql_text(D.MAIL_SYSTEM)),
-        ("human", "source"),
-        ("human", f"CASE WHEN lang <> 'en' THEN {request} ELSE {sql_text(D.DEFAULT_USER_PROMPT)} END"),
+        ("human", instructions),
+        ("human", request),
         ("human", f"'Here is receiver profile: ' || {summary}"),
     )
 
 
-def _sql_subject(body: str) -> str:
+def _sql_request(request: str) -> str:
+    return f"CASE WHEN lang <> 'en' THEN {request} ELSE {sql_text(D.DEFAULT_USER_PROMPT)} END"
+
+
+def sql_subject(body: str) -> str:
     return _sql_chat(
         ("system", sql_text(D.SUBJECT_SYSTEM)),
         ("human", f"'Here is email you need to generate subject for: ' || {body}"),
     )
 
 
-def _sql_answer(prompt: str) -> str:
+def sql_answer(prompt: str) -> str:
     return f"length({prompt}) || ' characters, ' || md5({prompt})"
 
 
@@ -108,16 +112,16 @@ _BODY = "CASE WHEN role = 'user' THEN 'Hello [First name]! ' || text || ' [Sign'
 
 SQL = {
     "prompt_text": f"""
-      SELECT doc_id, 'summary' AS kind, {_sql_summary('text')} AS prompt FROM documents
-      UNION ALL SELECT doc_id, 'mail', {_sql_mail('text', "'Write {in} ' || lang")} FROM documents
-      UNION ALL SELECT doc_id, 'subject', {_sql_subject('text')} FROM documents""",
+      SELECT doc_id, 'summary' AS kind, {sql_summary('text')} AS prompt FROM documents
+      UNION ALL SELECT doc_id, 'mail', {sql_mail('text', _sql_request("'Write {in} ' || lang"), 'source')} FROM documents
+      UNION ALL SELECT doc_id, 'subject', {sql_subject('text')} FROM documents""",
     "personalized": f"""
-      WITH s AS (SELECT *, {_sql_summary('text')} AS p1 FROM documents),
-      t AS (SELECT *, {_sql_answer('p1')} AS summary FROM s),
-      u AS (SELECT *, {_sql_mail('summary', "'Write in ' || lang")} AS p2 FROM t),
-      v AS (SELECT *, {_sql_answer('p2')} AS body FROM u),
-      w AS (SELECT *, {_sql_subject('body')} AS p3 FROM v)
-      SELECT doc_id, summary, body, {_sql_answer('p3')} AS subject, CAST(NULL AS VARCHAR) AS error FROM w""",
+      WITH s AS (SELECT *, {sql_summary('text')} AS p1 FROM documents),
+      t AS (SELECT *, {sql_answer('p1')} AS summary FROM s),
+      u AS (SELECT *, {sql_mail('summary', _sql_request("'Write in ' || lang"), 'source')} AS p2 FROM t),
+      v AS (SELECT *, {sql_answer('p2')} AS body FROM u),
+      w AS (SELECT *, {sql_subject('body')} AS p3 FROM v)
+      SELECT doc_id, summary, body, {sql_answer('p3')} AS subject, CAST(NULL AS VARCHAR) AS error FROM w""",
     "output_checks": rf"""
       WITH c AS (SELECT conv_id, turn, CAST(len(regexp_extract_all({_BODY}, '\[[^\]]+\]')) AS INTEGER) AS placeholders,
                         CAST(CASE WHEN {sql_strip('text')} = '' THEN 0 ELSE {_WORDS} END AS INTEGER) AS words,

@@ -1,6 +1,6 @@
 """From contacts to an outbox: address, page, text, prompts, plan and outcome."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +66,9 @@ def outcomes(
     pressed: Column | None = None,
     no_recipient: Column | None = None,
     send_disabled: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Exactly one row per contact in the shape of the message log, plus ``is_logged``."""
+    """Exactly one row per contact in the shape of the message log, plus ``is_logged`` and ``keep``."""
     no = F.lit(False)
     verdict = classify_message(
         F.col("error"),
@@ -84,4 +85,5 @@ def outcomes(
         "body",
         "_verdict.*",
         now.alias("ts"),
+        *keep,
     )

@@ -70,7 +70,7 @@ QUERIES = {
 _BLANK = r"\s\x{A0}"
 
 
-def _sql_page_text() -> str:
+def sql_page_text() -> str:
     """The data has one article per page, and escapes only quotes and ampersands."""
     unseen = (
         r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>"
@@ -86,8 +86,8 @@ def _sql_page_text() -> str:
 
 
 SQL = {
-    "page_text": _sql_page_text(),
-    "page_text_html": _sql_page_text(),
+    "page_text": sql_page_text(),
+    "page_text_html": sql_page_text(),
     "embedded_id": """
       SELECT event_id, CASE WHEN event_type IN ('view', 'purchase', 'click') THEN event_type || '-' || event_id END
         AS profile_id FROM events""",

@@ -1,6 +1,7 @@
 """All driver queries and their SQL."""
 
 from postbag.plans import (
+    campaign_queries,
     contact_queries,
     decision_queries,
     history_queries,
@@ -18,6 +19,7 @@ _MODULES = (
     message_queries,
     decision_queries,
     stream_queries,
+    campaign_queries,
 )
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}

@@ -105,9 +105,12 @@ def append_messages(messages: DataFrame, path: str) -> None:
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """The message log; a batch that was appended twice is read once."""
+    """The message log with its folders' ``day``; a batch that was appended twice is read once.
+
+    Copies of a row share their day, so a filter on ``day`` still leaves other folders unread.
+    """
     log = spark.read.schema(T.StructType([*S.MESSAGES_LOG.fields, T.StructField("day", T.DateType())])).parquet(path)
-    return latest_by_key(log, ["message_id"], ["ts"])
+    return latest_by_key(log, ["day", "message_id"], ["ts"])
 
 
 def setting_row(

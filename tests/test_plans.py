@@ -6,14 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from postbag import workspace
 from postbag.operators import decisions, history, quota
 from postbag.operators.addresses import resolve_address
 from postbag.plans.contact_queries import customer_contacts
+from postbag.sources import logs
 
 # Queries that read back what they wrote, and the two that need Python on purpose.
 WRITTEN = {
     "contact_file_checks", "stream_contacts", "outbox_by_day", "log_append", "personalized",
-    "stream_daily", "stream_status", "late_events", "stream_decisions",
+    "campaign_outcomes", "stream_daily", "stream_status", "late_events", "stream_decisions",
 }
 PYTHON = {"page_text_html"}
 
@@ -38,6 +40,23 @@ def test_a_day_is_looked_up_by_range_in_the_scan(spark, sf):
     assert "ReadSchema: struct<ts:timestamp_ntz>" in pushed
 
 
+def test_a_day_of_the_log_is_one_or_two_folders(spark, sf):
+    path = workspace.fresh(spark, "day-log")
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(
+        logs.message_id("event_id").alias("message_id"),
+        *[F.lit(None).cast("string").alias(c) for c in ("run_id", "profile_url", "body", "status", "error_message")],
+        "ts",
+    )
+    for _ in range(2):
+        logs.append_messages(rows, path)
+    log = logs.read_messages(spark, path)
+    count = quota.sent_today(log, dt.date(2024, 1, 15), "CET")
+    filters = plan(count).split("PartitionFilters: [")[1].split("]")[0]
+    assert "day" in filters and "2024-01-14" in filters and "2024-01-15" in filters
+    assert count.first() == quota.sent_today(rows, dt.date(2024, 1, 15), "CET").first()
+    assert log.count() == rows.count()
+
+
 def test_a_dense_plan_needs_no_shuffle(spark, sf):
     text = plan(quota.plan_days(customer_contacts(spark, sf), 40, 5, dense=True))
     assert "Exchange" not in text and "Window" not in text
