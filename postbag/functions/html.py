@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postbag import schema as S
 from postbag.functions.text import contains_marker, join_lines, split_last, strip
 
-_UNSEEN = r"(?is)<(script|style|template)(?:\s[^>]*)?>.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)"
+_UNSEEN = r"(?is)<(script|style|template)(?:\s[^>]*)?>.*?</\1\s*>|<!--.*?-->"
 _MARKUP = r"<[a-zA-Z/!?][^>]*>"
 # Characters an HTML writer must escape; the ampersand comes last so that nothing is read twice.
 _ENTITIES = (

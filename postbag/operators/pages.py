@@ -21,7 +21,8 @@ def contact_pages(
     return salted_join(contacts, at_url, ["profile_url"], spread, "left", hot)
 
 
-def with_page_text(pages: DataFrame, tag: str = "main", parsed: bool = False) -> DataFrame:
+def with_page_text(pages: DataFrame, tag: str = "main", parsed: bool = True) -> DataFrame:
+    """Add ``page_text``, by the parser or, for plain pages, by patterns inside the JVM."""
     extract = element_text_parsed if parsed else element_text
     return pages.withColumn("page_text", extract(F.col("html"), tag))
 

@@ -39,7 +39,7 @@ def campaign_outcomes(spark: SparkSession, folder: str) -> DataFrame:
         F.lit('"]}}}}</code>'),
     )
     pages = stored.withColumn("html", F.when(language == "es", F.col("html")).otherwise(F.concat("html", data)))
-    drafts = draft_messages(contacts, pages, stand_in_model, tag="article", parsed=False)
+    drafts = draft_messages(contacts, pages, stand_in_model, tag="article")
     result = outcomes(
         drafts,
         F.lit(NOW).cast("timestamp_ntz"),

@@ -37,11 +37,10 @@ def draft_messages(
     user_prompt: str | None = None,
     instructions: str | None = None,
     tag: str = "main",
-    parsed: bool = True,
     **options,
 ) -> DataFrame:
     """Every contact of a run with ``page_text, profile_id, body, subject`` and its own ``error``."""
-    text_and_id = with_profile_id(with_page_text(pages, tag, parsed)).drop("html")
+    text_and_id = with_profile_id(with_page_text(pages, tag)).drop("html")
     # Written once: the model steps read it several times, and parsing pages is slow.
     found = workspace.keep(contact_pages(with_address(contacts), text_and_id), "found")
     checks = {

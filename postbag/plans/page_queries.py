@@ -14,11 +14,18 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_text(spark: SparkSession, folder: str) -> DataFrame:
-    return with_page_text(_pages(spark, folder), "article").select("page_id", "page_text")
+    return with_page_text(_pages(spark, folder), "article", parsed=False).select("page_id", "page_text")
 
 
 def page_text_html(spark: SparkSession, folder: str) -> DataFrame:
-    return with_page_text(_pages(spark, folder), "article", parsed=True).select("page_id", "page_text")
+    return with_page_text(_pages(spark, folder), "article").select("page_id", "page_text")
+
+
+def page_text_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that came without encryption get a nested article, whose text comes twice."""
+    nested = F.replace("html", F.lit("</article>"), F.lit("<article>Caf&eacute;</article></article>"))
+    html = F.when(F.col("url").startswith("http:"), nested).otherwise(F.col("html"))
+    return with_page_text(_pages(spark, folder).withColumn("html", html), "article").select("page_id", "page_text")
 
 
 def _data_page() -> Column:
@@ -63,6 +70,7 @@ def found_pages(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "page_text": page_text,
     "page_text_html": page_text_html,
+    "page_text_nested": page_text_nested,
     "embedded_id": embedded_id,
     "contact_pages": found_pages,
 }
@@ -88,6 +96,10 @@ def sql_page_text() -> str:
 SQL = {
     "page_text": sql_page_text(),
     "page_text_html": sql_page_text(),
+    "page_text_nested": f"""
+      SELECT page_id, CASE WHEN url LIKE 'http:%'
+        THEN ltrim(page_text || ' Café', ' ') || chr(10) || 'Café' ELSE page_text END AS page_text
+      FROM ({sql_page_text()}) JOIN pages USING (page_id)""",
     "embedded_id": """
       SELECT event_id, CASE WHEN event_type IN ('view', 'purchase', 'click') THEN event_type || '-' || event_id END
         AS profile_id FROM events""",

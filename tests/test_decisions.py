@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from postbag.operators.decisions import await_decision, parse_key_log
 

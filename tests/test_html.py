@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from postbag import schema as S
@@ -24,6 +26,20 @@ PAGES = [
 ]
 
 
+PLAIN = ["<p>", "</p>", "<br/>", "<b class='x'>", "&amp;", "&amp", "&lt;b&gt;", "&nbsp;", "text", "Ärger", " ", "\n",
+         "<script>if (a<b) {}</script>", "<style>p{}</style>", "<!-- c -->", "<template><b>t</b></template>", "1 < 2"]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PLAIN), max_size=12), min_size=300, max_size=300))
+def test_patterns_read_plain_pages_like_the_parser(spark, pages):
+    whole = ["<p>x</p><main>" + "".join(p) + "</main>" + ("<main>two</main>" if len(p) % 2 else "") for p in pages]
+    df = spark.createDataFrame(list(enumerate(whole)), "i int, page string")
+    got = df.select("i", html.element_text(F.col("page")).alias("t")).orderBy("i").collect()
+    wrong = [(whole[r.i], r.t) for r in got if r.t != html.parse_element_text(whole[r.i])]
+    assert not wrong, wrong[0]
+
+
 @pytest.mark.parametrize("extract", [html.element_text, html.element_text_parsed])
 def test_texts(spark, extract):
     pages = spark.createDataFrame([(i, p[0]) for i, p in enumerate(PAGES)], "i int, page string")

@@ -17,7 +17,7 @@ WRITTEN = {
     "contact_file_checks", "stream_contacts", "outbox_by_day", "log_append", "personalized",
     "campaign_outcomes", "stream_daily", "stream_status", "late_events", "stream_decisions",
 }
-PYTHON = {"page_text_html"}
+PYTHON = {"page_text_html", "page_text_nested"}
 
 
 def plan(df):
