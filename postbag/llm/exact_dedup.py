@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from postbag import workspace
 from postbag.llm.common import keep
+from postbag.streaming.sources import stream_table
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -48,7 +49,7 @@ def track_duplicates(
     count only grows, the latest state is a minimum and a maximum.
     """
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes_per_batch).parquet(path)
+    stream = stream_table(spark, path, schema, maxBytesPerTrigger=max_bytes_per_batch)
     states = (
         _located(stream, id_col, text_col, with_text=False)
         .groupBy("digest")
