@@ -179,15 +179,20 @@ def pack(
     )
 
 
-def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+def pieces(docs: DataFrame) -> DataFrame:
+    """Documents in windows of 1024 ids of the 50k byte-level vocabulary, and digests of the pieces."""
     import public_tokenizers
 
-    packed = pack(spark.read.parquet(f"{folder}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    packed = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
 QUERIES = {"op7_packing": op7_packing}
 
 SQL: dict[str, str] = {}
