@@ -1,8 +1,30 @@
 """All queries of the subpackage and the SQL of those that SQL can express."""
 
-from postbag.llm import bpe, exact_dedup, line_dedup, minhash, packing, token_counts, toxicity, warc
+from postbag.llm import (
+    bpe,
+    collision_count,
+    exact_dedup,
+    license_scan,
+    line_dedup,
+    minhash,
+    packing,
+    token_counts,
+    toxicity,
+    warc,
+)
 
-_MODULES = (warc, exact_dedup, minhash, token_counts, packing, bpe, line_dedup, toxicity)
+_MODULES = (
+    warc,
+    license_scan,
+    exact_dedup,
+    minhash,
+    collision_count,
+    token_counts,
+    packing,
+    bpe,
+    line_dedup,
+    toxicity,
+)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
