@@ -118,31 +118,27 @@ def _close(a: str, b: str, percent: int) -> Column:
 
 
 def _alike(percent: int, t: int) -> Column:
-    """So many equal coordinates that the similarity may be reached: eight deviations below it."""
+    """So many equal coordinates that the similarity may be reached: five deviations below it."""
     p = percent / 100
-    least = max(0, int(t * p - 8 * (t * p * (1 - p)) ** 0.5))
+    least = max(0, int(t * p - 5 * (t * p * (1 - p)) ** 0.5))
     return F.expr(f"size(filter(zip_with(l.parts, r.parts, (x, y) -> x = y), z -> z)) >= {least}")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose whole shingle sets are as similar as asked for."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    chosen = nodes.select("node").join(involved, "node", "left_semi")
-    # one row of an identifier gives its set; rows that repeat it count as one document
-    sets = keep(
-        texts.join(chosen.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        .mapInArrow(_sets(width), "node long, members array<long>"),
-        "minhash-sets",
-    )
+def _whole_sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``node``, ``members``: the whole shingle set of each node in ``pairs``."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    rows = texts.join(involved, "doc_id", "left_semi")
+    sets = rows.mapInArrow(_sets(width), "node long, members array<long>")
+    # where rows repeat an identifier, the set of the node is the one that was sketched
+    return keep(sets.join(nodes.selectExpr("node", "n_shingles n"), "node").where("size(members) = n").drop("n"), "minhash-sets")
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` with the size of the intersection and of the union of their whole sets."""
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    same = F.size(F.array_intersect("ma", "mb"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(100 * same >= percent * (F.size("ma") + F.size("mb") - same))
-        .select("a", "b")
-    )
+    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ma", "mb")))
+    return both.select("a", "b", "common", (F.size("ma") + F.size("mb") - F.col("common")).alias("all"))
 
 
 def near_duplicates(
@@ -157,10 +153,11 @@ def near_duplicates(
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs``.
 
     Documents are linked when their sets of ``width``-word shingles have a similarity of ``percent`` or
-    more. Equal sets become one node first. In each bucket of a band one member, another one in each
-    band, is compared with all others: as many pairs as members. Then members of a bucket that are
-    still in different components are compared with each other, unless sizes or sketches rule the
-    link out, so no pair of a bucket is left undecided and none inside a component is spelled out. At
+    more. Equal sets become one node first. In each bucket of a band the member that meets most others
+    is compared with all of them: as many pairs as members. Then members of a bucket that are still
+    in different components are compared with each other, in the first band they share and unless
+    sizes, sketches or their distances from that member rule the link out, so no pair of a bucket is left undecided and none inside a
+    component is spelled out. At
     a similarity of exactly 0.8 a pair shares no band with a probability of 3e-6. Links are confirmed
     on whole sets.
 
@@ -183,35 +180,47 @@ def near_duplicates(
     )
     nodes = filled.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
     nodes = nodes.withColumnRenamed("doc_id", "node")
-    postings = nodes.select("node", F.explode("bands").alias("key"))
-    pivots = (
-        postings.groupBy("key")
-        .agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("p"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("key", F.col("p.node").alias("pivot"))
+    postings = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = keep(postings.join(shared, "key"), "minhash-crowded")
+    # the member that meets most others over all its bands is the likeliest centre of a group
+    central = crowded.groupBy("node").agg(F.sum("n").alias("meets"))
+    buckets = keep(crowded.join(central, "node").select("key", "band", "node", "meets"), "minhash-buckets")
+    centre = F.max(F.struct("meets", F.xxhash64("node", "key").alias("h"), "node")).getField("node")
+    pivots = buckets.groupBy("key").agg(centre.alias("pivot"))
+    pairs = buckets.join(pivots, "key").where("node <> pivot")
+    stars = keep(
+        pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "minhash-stars"
     )
-    buckets = keep(postings.join(pivots, "key"), "minhash-buckets")
-    stars = buckets.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     own = named.where("doc_id <> node").selectExpr("doc_id a", "node b")
-    links = keep(_verified(keep(stars.distinct(), "minhash-stars"), nodes, texts, width, percent), "minhash-links")
+    sets = _whole_sets(stars, nodes, texts, width)
+    linked = f"100 * common >= {percent} * all"
+    measured = keep(_measured(stars, sets), "minhash-measured")
+    links = measured.where(linked).select("a", "b")
     first = components(links, "minhash-first")
 
-    placed = buckets.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    # distances (1 less the similarity) obey the triangle inequality: members that are not equally far
+    # from their pivot can't be near each other
+    around = pairs.select("key", "band", "node", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    around = around.join(measured, ["a", "b"]).select("key", "band", "node", (F.col("common") / F.col("all")).alias("near"))
+    centres = buckets.join(pivots.withColumnRenamed("pivot", "node"), ["key", "node"], "left_semi")
+    around = around.unionByName(centres.select("key", "band", "node", F.lit(1.0).alias("near")))
+    placed = around.join(first, "node", "left").select("key", "band", "near", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    apart = keep(
-        placed.join(mixed.select("key"), "key").join(nodes.select("node", "n_shingles", "parts"), "node"), "minhash-apart"
-    )
+    traits = nodes.select("node", "n_shingles", "bands", "parts")
+    apart = keep(placed.join(mixed.select("key"), "key").join(traits, "node"), "minhash-apart")
     rest = apart.alias("l").join(
         apart.alias("r"),
         (F.col("l.key") == F.col("r.key"))
         & (F.col("l.node") < F.col("r.node"))
         & (F.col("l.component") != F.col("r.component"))
         & _close("l.n_shingles", "r.n_shingles", percent)
+        & F.expr("array_position(zip_with(l.bands, r.bands, (x, y) -> x = y), true) = l.band + 1")
+        & (F.abs(F.col("l.near") - F.col("r.near")) <= 1 - percent / 100 + 1e-9)
         & _alike(percent, bands * rows),
     )
     rest = keep(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "minhash-rest")
-    rest = rest.join(stars.distinct(), ["a", "b"], "left_anti")
-    more = _verified(rest, nodes, texts, width, percent)
+    more = _measured(rest.join(stars, ["a", "b"], "left_anti"), sets).where(linked).select("a", "b")
     edges = first.selectExpr("node a", "component b").unionAll(more).unionAll(own)
     final = components(edges, "minhash-final")
     return (
