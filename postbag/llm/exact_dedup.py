@@ -8,8 +8,11 @@ from postbag import workspace
 from postbag.llm.common import keep
 from postbag.streaming.sources import stream_table
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State on disk; many small stores need no space set aside for their logs.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -59,8 +62,9 @@ def track_duplicates(
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {key: spark.conf.get(key, None) for key in STORE}
+    for key, value in STORE.items():
+        spark.conf.set(key, value)
     try:
         query = (
             states.writeStream.outputMode("update")
@@ -71,10 +75,11 @@ def track_duplicates(
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     stored = T.StructType(states.schema.fields)
     if query.lastProgress is None and not _exists(spark, f"{folder}/states"):
         return spark.createDataFrame([], stored)
