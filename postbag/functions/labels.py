@@ -12,7 +12,7 @@ GO, SKIP, UNRECOGNIZED = "go", "skip", "unrecognized"
 
 
 def int_or_default(c: Column, default: int) -> Column:
-    return F.coalesce(c.try_cast("int"), F.lit(default))
+    return F.coalesce(c.try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def as_text(c: Column) -> Column:

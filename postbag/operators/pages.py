@@ -21,6 +21,16 @@ def contact_pages(
     return salted_join(contacts, at_url, ["profile_url"], spread, "left", hot)
 
 
+def needed_pages(contacts: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages at the contacts' URLs, one per URL: the one stored last, by ``page_id``.
+
+    Taken before pages are parsed, so that a run never parses the rest of a crawl.
+    """
+    wanted = contacts.select(F.col("profile_url").alias("url")).distinct()
+    last = pages.join(wanted, "url", "left_semi").groupBy("url").agg(F.max("page_id").alias("page_id"))
+    return pages.join(last, ["url", "page_id"], "left_semi")
+
+
 def with_page_text(pages: DataFrame, tag: str = "main", parsed: bool = True) -> DataFrame:
     """Add ``page_text``, by the parser or, for plain pages, by patterns inside the JVM."""
     extract = element_text_parsed if parsed else element_text

@@ -83,8 +83,12 @@ def salted_join(
     )
     on = [*keys, "_slice"]
     if how == "right":
-        # A hot key has rows, so its copies without a match are not unmatched rows of dims.
+        # Of a hot key that has rows, copies without a match are not unmatched rows of dims. A caller's
+        # list may hold keys without rows; those are taken off it.
+        present = facts.select(*keys).join(hot, keys, "left_semi").distinct().withColumn("_present", F.lit(True))
+        copies = copies.join(present, keys, "left")
         joined = sliced_facts.withColumn("_found", F.lit(True)).join(copies, on, "right")
-        joined = joined.where(F.col("_found").isNotNull() | F.col("_slices").isNull())
+        once = F.col("_present").isNull() & (F.col("_slice") == 0)
+        joined = joined.where(F.col("_found").isNotNull() | F.col("_slices").isNull() | once).drop("_present")
         return joined.drop("_slice", "_slices", "_found")
     return sliced_facts.join(copies.drop("_slices"), on, how).drop("_slice")

@@ -10,7 +10,7 @@ from postbag.functions.clock import send_after
 from postbag.operators.addresses import resolve_address, with_address
 from postbag.operators.drafts import Model, personalize
 from postbag.operators.outcomes import classify_message, isolate_errors
-from postbag.operators.pages import contact_pages, with_page_text, with_profile_id
+from postbag.operators.pages import contact_pages, needed_pages, with_page_text, with_profile_id
 from postbag.operators.quota import plan_days
 from postbag.sources.logs import message_id
 
@@ -40,7 +40,7 @@ def draft_messages(
     **options,
 ) -> DataFrame:
     """Every contact of a run with ``page_text, profile_id, body, subject`` and its own ``error``."""
-    text_and_id = with_profile_id(with_page_text(pages, tag)).drop("html")
+    text_and_id = with_profile_id(with_page_text(needed_pages(contacts, pages), tag)).drop("html")
     # Written once: the model steps read it several times, and parsing pages is slow.
     found = workspace.keep(contact_pages(with_address(contacts), text_and_id), "found")
     checks = {
