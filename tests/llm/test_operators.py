@@ -1,0 +1,219 @@
+"""The operators on small tables: odd rows, brute force, round trips."""
+
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from brute import near_duplicates as brute_near
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from postbag.llm import (
+    bpe,
+    collision_count,
+    exact_dedup,
+    license_scan,
+    line_dedup,
+    minhash,
+    packing,
+    token_counts,
+    toxicity,
+    warc,
+)
+from postbag.llm.components import components
+
+MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+JSON_50K, RANKS_50K = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
+LONG = "ab é' " * 30_000 + "x" * 20_000
+ODD = [
+    (1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, "one"), (5, "one"), (None, "one two three"), (None, None),
+    (6, LONG), (7, LONG), (8, "a  b\r\n\r\nc <|endoftext|> <|startoftext|> Σας İ ﬁ \x85 日本"), (9, "a b\n c"),
+]
+FUZZ = list("abZ '.,\n\t 09éß<|>") + ["'s", "'ll", "<|endoftext|>", "   ", "日本", "İ", "Σ", "\x1c", "😀", "\r\n"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows, and columns whose names operators use themselves."""
+    rows = [(i, t, "s", "x", 1.0, 0) for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, node string, score double, n_lines int")
+
+
+def fuzz(n, seed=1):
+    r = random.Random(seed)
+    return ["".join(r.choice(FUZZ) for _ in range(r.randrange(30))) for _ in range(n)]
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (4, 1), (2, 1)]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {tuple(r) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7)}
+
+
+def test_warc_round_trip(spark, tmp_path):
+    html = ["<a>", None, "", "<a>", "x\r\n\r\nWARC/1.1\r\n\r\ny", "é" * 2500, "<a>", "é" * 2500]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string").withColumn("url", F.lit("http://a b\r\n"))
+    got = warc.warc_round_trip(pages.withColumn("kind", F.lit("clash")), chunk_chars=1000, path=str(tmp_path / "w"))
+    rows = {r.page_id: r for r in got.collect()}
+    first = {}
+    for i, h in enumerate(html):
+        data = (h or "").encode()
+        keep = first.setdefault(data, i)
+        r = rows[i]
+        assert (r.payload_bytes, r.payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+        assert (r.record_type, r.refers_to) == (("response", None) if keep == i else ("revisit", keep))
+    assert rows[5].chunks == 3
+
+
+def test_warc_least_bytes_and_empty(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (None, None, "abc")], "page_id long, url string, html string")
+    got = warc.warc_round_trip(pages, least_bytes=4, path=str(tmp_path / "a")).collect()
+    assert [r.record_type for r in got] == ["response"] * 3
+    assert warc.warc_round_trip(pages.where("false"), path=str(tmp_path / "b")).count() == 0
+
+
+def test_license_scan(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and\nassociated"
+    full = license_scan.TEMPLATES["MIT-text"].replace("associated documentation", "associated\ndocumentation")
+    texts = ["abc\nLicensed under CC BY-NC 4.0.\nmore", "Licensed under the Apache License, version 2.0", full, None, "", "we licensed it", mit]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.line, r.license, r.differences) for r in license_scan.scan_licenses(docs).collect()}
+    assert got == {0: (1, "CC-BY-NC-4.0", []), 1: (0, "Apache-2.0", []), 2: (0, "MIT-text", [])}
+
+
+def test_exact_dedup_over_batches(spark, tmp_path):
+    rows = [(5, "a b"), (3, "a\t\n b"), (9, "a b"), (1, None), (2, ""), (None, "z"), (4, "z"), (7, "q"), (7, "q")]
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
+    got = exact_dedup.exact_dedup(spark, str(tmp_path / "d"), max_bytes_per_batch=1).collect()
+    seen = sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in got)
+    assert [x for x in seen if x[0] != 7] == [
+        (0, 4, 2, False), (1, 1, 2, True), (2, 1, 2, False), (3, 3, 3, True), (4, 4, 2, True), (5, 3, 3, False), (9, 3, 3, False),
+    ]
+    assert sorted(x[3] for x in seen if x[0] == 7) == [False, True]
+
+
+def test_sketch_fills_and_estimates():
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    a, b = np.unique(pool[:2000]), np.unique(pool[200:2200])
+    for x in (a[:1], a[:3], a):
+        assert (minhash.sketch(x, 96) != minhash.NONE).all()
+    same = (minhash.sketch(a, 512) == minhash.sketch(b, 512)).mean()
+    assert abs(same - 1800 / 2200) < 0.08
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_as_brute_force(spark, width):
+    r = random.Random(width)
+    base = [[r.choice("abcdefghijklmnopqrstuvwxyz") * r.randrange(1, 4) for _ in range(80)] for _ in range(12)]
+    texts = {0: "", 1: " ", 2: "One", 3: "oNE", 4: "one two", 5: None}
+    for i in range(6, 150):
+        words = list(r.choice(base))
+        for _ in range(r.randrange(0, 6)):
+            words[r.randrange(80)] = r.choice(["new", "word", "zz"])
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(docs, width=width).collect()}
+    assert got == brute_near(texts, width)
+
+
+def test_near_duplicates_odd_rows(spark, odd):
+    rows = minhash.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id == 5} == {4} and not [r for r in rows if r.doc_id == 7][0].kept
+    assert minhash.near_duplicates(odd.where("false")).count() == 0
+
+
+def test_near_vectors(spark):
+    r = np.random.default_rng(5)
+    base = r.standard_normal((20, 16))
+    vectors = [(i, (base[i % 20] + 0.04 * r.standard_normal(16)).tolist(), int(i % 20 % 3)) for i in range(200)]
+    vectors += [(200, None, 1), (201, [0.0] * 16, 1), (202, [float("nan")] * 16, 1), (203, vectors[0][1], None), (204, vectors[0][1], 0)]
+    got = collision_count.near_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int"), block=8)
+    rows = {x.vec_id: x.n_links for x in got.collect()}
+    x = np.array([v for i, v, _ in vectors if i < 200 or i == 204])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([c for i, _, c in vectors if i < 200 or i == 204])
+    links = ((x @ x.T >= 0.98) & (label[:, None] == label[None, :])).sum(1) - 1
+    assert [rows[i] for i in [*range(200), 204]] == links.tolist()
+    assert all(rows[i] == 0 for i in range(200, 204))
+
+
+def test_token_counts(spark, odd):
+    library = Tokenizer.from_file(WORDS)
+    got = token_counts.count_tokens(odd, WORDS).collect()
+    want = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    count = token_counts.WordCounter(WORDS)
+    assert all(count(t) == len(library.encode(t, add_special_tokens=False).ids) for t in fuzz(2000))
+
+
+def test_bpe_as_library(spark, odd):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.rank_file(MULTI), special_tokens={})
+    encode = bpe.encoder(MULTI, public_tokenizers.PATTERN)
+    for t in [*fuzz(2000, 2), LONG]:
+        assert np.frombuffer(encode(t), np.uint32).tolist() == library.encode_ordinary(t)
+    rows = bpe.decode(bpe.encode(odd, MULTI, public_tokenizers.PATTERN), MULTI).collect()
+    assert sorted(str((r.doc_id, bytes(r.decoded))) for r in rows) == sorted(str((i, (t or "").encode())) for i, t in ODD)
+
+
+@pytest.mark.parametrize("path", [JSON_50K, RANKS_50K])
+def test_packing(spark, odd, path):
+    library = Tokenizer.from_file(JSON_50K)
+    rows = packing.pack(odd.coalesce(1), path, size=64).collect()
+    windows = {}
+    for r in rows:
+        windows.setdefault(r.sequence_id, []).append(r)
+    for held in windows.values():
+        held.sort(key=lambda r: r.offset)
+        assert [r.offset for r in held] == [sum(x.length for x in held[:k]) for k in range(len(held))]
+    assert sum(sum(r.length for r in held) < 64 for held in windows.values()) <= 1
+    want = np.array(library.encode(LONG, add_special_tokens=False).ids + [0], np.uint32)
+    pieces = sorted((r for r in rows if r.doc_id == 6), key=lambda r: r.start)
+    assert zlib.crc32(b"".join(bytes(r.ids) for r in pieces)) == zlib.crc32(want.tobytes())
+    assert packing.pack(odd.where("false"), path).count() == 0
+
+
+def test_line_dedup(spark, odd):
+    rows = [(i, f"own {i}, and much else that stands nowhere but here\nshared line\n", f"site{i}", i) for i in range(12)]
+    rows += [(20, "shared line\nrare", None, 1), (21, None, "a", 1), (22, "", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lines_removed int")
+    got = {r.doc_id: (r.lines_removed, r.text) for r in line_dedup.remove_boilerplate(docs).collect()}
+    assert got[0] == (0, rows[0][1]) and all(got[i] == (1, rows[i][1].replace("shared line\n", "")) for i in range(1, 12))
+    assert got[20] == (0, "shared line\nrare") and got[21] == (0, None) and got[22] == (0, "")
+    assert line_dedup.remove_boilerplate(odd).count() == len(ODD)
+
+
+def test_toxicity_held_out(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7))) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(900):
+        text = [r.choice(words) for _ in range(40)]
+        toxic = i % 4 == 0
+        if toxic:
+            text[r.randrange(40)] = "zorp" + r.choice(words)
+            text[r.randrange(40)] = "zorp" + r.choice(words)
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs += [(5000, None), (5001, ""), (None, "x")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(table, spark.createDataFrame(labels + [(None, 1), (7, None)], "doc_id long, toxic int"))
+    got = {x.doc_id: x.score for x in toxicity.score(table, model).collect()}
+    held = [(i, t) for i, t in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i] >= 0.7) == bool(t) for i, t in held]) > 0.95
+    assert len(got) == 903 and all(0 <= s <= 1 for s in got.values())
+    assert set(toxicity.drop_toxic(table, model).columns) == {"doc_id", "text"}
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert rows and len({(r.doc_id, r.start) for r in rows}) == len(rows)
