@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postbag.llm.common import per_worker, plain
-from postbag.llm.pretokens import Encoder, rank_file
+from postbag.llm.pretokens import pieces, rank_file
 
 NEVER = 1 << 62
+WIDE = 64  # bytes of a pre-token that is merged together with others
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -72,17 +73,129 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def encoder(path: str, pattern: str) -> Encoder:
-    """Encodes texts by the ranks in ``path``, each match of ``pattern`` separately."""
-    ranks, words = rank_file(path), regex.compile(pattern)
+class Merger:
+    """Merges many pre-tokens at once: each row of the arrays is the segment tree of one of them.
 
-    def piece(text: str) -> bytes:
-        ids: list[int] = []
-        for word in words.findall(text):
-            ids += merge(word.encode("utf-8", "replace"), ranks)
-        return np.array(ids, np.uint32).tobytes()
+    Pre-tokens go by the size of their tree; those beyond :data:`WIDE` bytes are merged alone.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks.get(bytes([k]), -1) for k in range(256)])
+        joined = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    joined[left << 32 | right] = rank
+        keys = np.fromiter(joined, np.int64, len(joined))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.values = np.fromiter(joined.values(), np.int64, len(joined))[order]
+
+    def leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rank of two parts joined, and their position, as one number."""
+        if not len(self.keys):
+            return np.full(left.shape, NEVER)
+        pair = left << 32 | right
+        place = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[place] == pair, self.values[place] << 8 | at, NEVER)
+
+    def __call__(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Little-endian 32-bit ids of each word."""
+        out, classes = {}, {}
+        for word in words:
+            whole = self.ranks.get(word)
+            if whole is not None:
+                out[word] = np.uint32(whole).tobytes()
+            elif len(word) > WIDE:
+                out[word] = np.array(merge(word, self.ranks), np.uint32).tobytes()
+            else:
+                classes.setdefault(1 << (len(word) - 1).bit_length(), []).append(word)
+        for size, members in classes.items():
+            for start in range(0, len(members), 4096):
+                self._merge(members[start : start + 4096], size, out)
+        return out
+
+    def _merge(self, words: list[bytes], size: int, out: dict[bytes, bytes]) -> None:
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        parts = np.full((len(words), size), -1)  # the id of the part that starts here
+        parts[np.arange(size) < n[:, None]] = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        after = np.tile(np.arange(1, size + 1), (len(words), 1))  # where the next part starts
+        before = after - 2
+        tree = np.full((len(words), 2 * size), NEVER)
+        leaves = self.leaf(parts[:, :-1], parts[:, 1:], np.arange(size - 1))
+        tree[:, size : 2 * size - 1] = np.where(parts[:, 1:] >= 0, leaves, NEVER)
+        level = size
+        while level > 1:
+            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            level //= 2
+
+        def put(row: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
+            """Leaves, and the paths above them."""
+            at = at + size
+            tree[row, at] = value
+            for _ in range(size.bit_length() - 1):
+                value = np.minimum(value, tree[row, at ^ 1])
+                at = at >> 1
+                tree[row, at] = value
+
+        row = np.arange(len(words))
+        while True:
+            best = tree[row, 1]
+            row, best = row[best < NEVER], best[best < NEVER]
+            if not len(row):
+                break
+            at, made = best & 0xFF, best >> 8
+            gone = after[row, at]
+            far = after[row, gone]
+            parts[row, at], parts[row, gone], after[row, at] = made, -1, far
+            more = far < n[row]
+            before[row[more], far[more]] = at[more]
+            put(row, gone, np.full(len(row), NEVER))
+            right = parts[row, np.minimum(far, size - 1)]
+            put(row, at, np.where(more, self.leaf(made, right, at), NEVER))
+            back = before[row, at]
+            some = back >= 0
+            put(row[some], back[some], self.leaf(parts[row[some], back[some]], made[some], back[some]))
+        live = parts >= 0
+        ids = parts[live].astype("<u4").tobytes()
+        ends = np.cumsum(live.sum(1)) * 4
+        for word, start, end in zip(words, [0, *ends[:-1].tolist()], ends.tolist()):
+            out[word] = ids[start:end]
+
+
+class TextEncoder:
+    """Encodes whole texts by the ranks in ``path``, each match of ``pattern`` separately.
+
+    Pieces met before are remembered, up to ``limit``; forgetting them costs time only.
+    """
+
+    def __init__(self, path: str, pattern: str, limit: int = 300_000):
+        self.merger, self.words, self.limit = Merger(rank_file(path)), regex.compile(pattern).findall, limit
+        self.memo: dict[str, bytes] = {}
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        split = [pieces(x or "") for x in texts]
+        if len(self.memo) > self.limit:
+            self.memo.clear()
+        new = list(set().union(*split).difference(self.memo)) if split else []
+        found = [[w.encode("utf-8", "replace") for w in self.words(x)] for x in new]
+        ids = self.merger(list(set().union(*found))) if found else {}
+        memo = self.memo
+        memo.update((x, b"".join([ids[w] for w in words])) for x, words in zip(new, found))
+        out = [b"".join(map(memo.__getitem__, x)) for x in split]
+        for x in new:
+            if len(x) > WIDE:
+                del memo[x]
+        return out
 
-    return Encoder(piece)
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
+
+
+def encoder(path: str, pattern: str) -> TextEncoder:
+    return TextEncoder(path, pattern)
 
 
 def _lists(parts: list[bytes]) -> pa.Array:
@@ -96,9 +209,9 @@ def _encoded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = per_worker(f"bpe {path}", lambda: encoder(path, pattern))
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                ids = _lists([encode(x or "") for x in part.column(1).to_pylist()])
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                ids = _lists(encode.many(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
 
     return run
