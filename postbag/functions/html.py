@@ -61,8 +61,15 @@ def element_bodies(html: Column, tag: str = "code") -> Column:
 
 
 def json_path_value(body: Column, key: str = S.ID_MARKER) -> Column:
-    """First of ``data.data.<key>.*elements``; NULL for broken JSON, a missing key or an empty list."""
-    return F.get_json_object(body, f"$.data.data.{key}['*elements'][0]")
+    """First of ``data.data.<key>.*elements``; NULL for broken JSON, a missing key or an empty list.
+
+    The whole body must be one JSON value: text after it, single-quoted strings and repeated keys count
+    as broken, and so does a body too large for a variant.
+    """
+    # As the only element of a list, since the reader of a bare value does not look behind it.
+    alone = F.concat(F.lit("["), body, F.lit("]"))
+    sound = (F.json_array_length(alone) == 1) & F.try_parse_json(alone).isNotNull()
+    return F.when(sound, F.get_json_object(body, f"$.data.data.{key}['*elements'][0]"))
 
 
 def first_match(html: Column, key: str = S.ID_MARKER, tag: str = "code") -> Column:

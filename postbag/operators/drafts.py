@@ -172,11 +172,14 @@ def personalize(
 ) -> DataFrame:
     """Add ``summary, body, subject, error``: page to summary, summary to body, body to subject.
 
-    ``ids`` name one row each. A step that failed leaves its error; the steps after it are not
-    asked, nor is any step for a row that comes with an ``error``. The steps pass on ids and answers only, each written before the next one starts, and
-    the rows themselves are joined once, at the end.
+    Every row comes back once, also where ``ids`` are NULL or repeat: rows are written with a number of
+    their own before the first step, and that number is what they are joined by. A step that failed
+    leaves its error; the steps after it are not asked, nor is any step for a row that comes with an
+    ``error``. The steps pass on ids and answers only, each written before the next one starts, and the
+    rows themselves are joined once, at the end.
     """
-    ids = list(ids)
+    df = workspace.keep(df.withColumn("_row", F.monotonically_increasing_id()), "to-write")
+    ids = ["_row", *(i for i in ids if i != "_row")]
     none = F.lit(None).cast("string")
 
     def step(rows: DataFrame, messages: Column, out: str) -> DataFrame:
@@ -204,8 +207,9 @@ def personalize(
     rows = step(rows, subject, "subject").withColumnRenamed("_failed", "error")
     if "error" in df.columns:
         before = df.withColumnRenamed("error", "_before")
-        return before.join(rows, ids).withColumn("error", F.coalesce("_before", "error")).drop("_before")
-    return df.join(rows, ids)
+        joined = before.join(rows.drop(*ids[1:]), "_row")
+        return joined.withColumn("error", F.coalesce("_before", "error")).drop("_before", "_row")
+    return df.join(rows.drop(*ids[1:]), "_row").drop("_row")
 
 
 def placeholders(text: Column) -> Column:

@@ -79,6 +79,15 @@ def test_personalize(spark):
     assert (rows[3].summary, rows[3].error) == (None, None) and len(rows) == 4
 
 
+def test_personalize_keeps_rows_whose_ids_are_missing_or_repeat(spark):
+    given = [("r", 0, "u1", "one"), ("r", 0, "u2", "two"), (None, None, "u3", "three"), (None, None, "u4", "one"), ("r", None, "u5", None)]
+    df = spark.createDataFrame(given, "run_id string, row_pos long, profile_url string, page_text string")
+    out = D.personalize(df, echo, ["run_id", "row_pos"])
+    assert sorted(out.columns) == sorted([*df.columns, "summary", "body", "subject", "error"])
+    got = sorted((r.profile_url, r.page_text, r.summary) for r in out.collect())
+    assert got == sorted((u, p, p and f"2:{p}") for _, _, u, p in given)
+
+
 def test_checks(spark):
     nine, ten = " ".join("w" * 9), " ".join("w" * 10)
     df = spark.createDataFrame(

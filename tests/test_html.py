@@ -71,6 +71,15 @@ def test_ids(spark, page, want):
     assert spark.createDataFrame([(page,)], "p string").select(html.first_match(F.col("p"))).first()[0] == want
 
 
+def test_ids_come_from_whole_json_only(spark):
+    good = '{"data": {"data": {"%s": {"*elements": ["urn:x:%s"]}}}}'
+    first = good % (S.ID_MARKER, "A")
+    broken = [first + " x", first + first, first + "," + first, first.replace('"', "'"), first[:-1]]
+    rows = [(f"<code>{b}</code><code>{good % (S.ID_MARKER, 'B')}</code>",) for b in broken] + [(f"<code> {first}\n</code>",)]
+    got = spark.createDataFrame(rows, "h string").coalesce(1).select(html.first_match(F.col("h")).alias("i"))
+    assert [r.i for r in got.collect()] == ["B"] * len(broken) + ["A"]
+
+
 def test_bodies(spark):
     page = "<code id='a'>x &amp; &quot;y&quot;</code><code></code>"
     got = spark.createDataFrame([(page,)], "p string").select(html.element_bodies(F.col("p"))).first()[0]
