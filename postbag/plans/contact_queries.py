@@ -10,7 +10,7 @@ from postbag.functions.text import default_if_blank, slugify, split_last
 from postbag.operators.addresses import resolve_address, with_address
 from postbag.operators.drafts import DEFAULT_USER_PROMPT
 from postbag.operators.outcomes import isolate_errors
-from postbag.operators.quota import row_count
+from postbag.operators.quota import plan_days, row_count
 from postbag.plans.tables import (
     SQL_EVENT_NUMBER,
     event_number,
@@ -19,7 +19,8 @@ from postbag.plans.tables import (
     sql_text,
     table,
 )
-from postbag.sources.contacts import read_contacts
+from postbag.sources.contacts import load_each, read_contacts
+from postbag.sources.logs import message_id
 from postbag.streaming.sinks import append_sink, run_to_end
 from postbag.streaming.sources import stream_contacts
 
@@ -99,12 +100,13 @@ def isolated_errors(spark: SparkSession, folder: str) -> DataFrame:
     return failed.withColumn("status", F.when(F.col("error").isNull(), S.READY).otherwise(S.FAILED))
 
 
-def _awkward_file(spark: SparkSession, folder: str) -> DataFrame:
+def _awkward_file(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
     """Customers as a contact file: line breaks, quotes and commas in cells, missing values spelt out."""
     missing = F.element_at(
         F.array(*[F.lit(t) for t in S.NA_TOKENS]), F.col("c_nationkey") % F.lit(len(S.NA_TOKENS)) + 1
     )
-    return customer_contacts(spark, folder, "c_mktsegment", "c_nationkey").select(
+    return customer_contacts(spark, folder, "c_mktsegment", "c_nationkey", *keep).select(
+        *keep,
         F.col("profile_url").alias("Person Linkedin Url"),
         F.coalesce("email", missing).alias("Email"),
         F.col("first_name").alias("First Name"),
@@ -145,6 +147,46 @@ def streamed_contacts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("profile_url", "email", "first_name", "last_name", "company", "error")
 
 
+def _mixed_files(spark: SparkSession, folder: str) -> str:
+    """Customers in files of three layouts: the usual one, another order with a column more, two columns less."""
+    path = workspace.fresh(spark, "mixed-contacts")
+    rows = _awkward_file(spark, folder, "c_custkey")
+    usual = [c for c in rows.columns if c != "c_custkey"]
+    kinds = {
+        "a": usual,
+        "b": [*reversed(usual), F.lit("x, y").alias("Note")],
+        "c": [c for c in usual if c not in ("First Name", "Company")],
+    }
+    for k, (name, columns) in enumerate(kinds.items()):
+        part = rows.where(F.col("c_custkey") % 3 == k).orderBy("c_custkey")
+        _write_csv(part.select(*columns), f"{path}/{name}")
+    return path
+
+
+def campaign_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One run over all files: positions, days under the limit and message ids."""
+    contacts = read_contacts(spark, _mixed_files(spark, folder) + "/*").withColumn("run_id", F.lit("spring"))
+    planned = plan_days(contacts, 50, 7, dense=True)
+    return planned.select(
+        "row_pos", "send_day", message_id("run_id", "row_pos").alias("message_id"),
+        "profile_url", "email", "first_name", "last_name", "company", "error",
+    )
+
+
+def rejected_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Each file judged alone: contacts accepted by folder, and the state of its files in the run log."""
+    path = _mixed_files(spark, folder)
+    _write_csv(_awkward_file(spark, folder).drop("Person Linkedin Url"), f"{path}/d")
+    contacts, runs = load_each(spark, f"{path}/*", F.lit("2024-01-15 03:30:00").cast("timestamp_ntz"))
+    runs = runs.withColumn("folder", F.element_at(F.split("file_name", "/"), -2))
+    per_file = contacts.groupBy("run_id").agg(F.count("*").alias("n"), (F.max("row_pos") + 1).alias("positions"))
+    return (
+        runs.join(per_file, "run_id", "left")
+        .groupBy("folder", "status", "error_message", "ts")
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("contacts"), F.coalesce(F.sum("positions"), F.lit(0)).alias("positions"))
+    )
+
+
 def contact_rows(spark: SparkSession, folder: str) -> DataFrame:
     return row_count(customer_contacts(spark, folder))
 
@@ -159,6 +201,8 @@ QUERIES = {
     "contact_file_checks": contact_file_checks,
     "stream_contacts": streamed_contacts,
     "contact_rows": contact_rows,
+    "campaign_files": campaign_files,
+    "rejected_files": rejected_files,
 }
 
 SQL = {
@@ -204,4 +248,20 @@ SQL = {
       SELECT profile_url, email, first_name, last_name, company, CAST(NULL AS VARCHAR) AS error
       FROM ({SQL_FILE})""",
     "contact_rows": 'SELECT count(*) AS "rows" FROM customer',
+    "campaign_files": f"""
+      WITH placed AS (
+        SELECT c_name, c_custkey % 3 AS kind,
+               row_number() OVER (ORDER BY c_custkey % 3, c_custkey) - 1 AS row_pos FROM customer),
+      contacts AS ({SQL_FILE})
+      SELECT row_pos, CAST((7 + row_pos) // 50 AS INTEGER) AS send_day,
+             sha256('spring' || chr(31) || row_pos) AS message_id, profile_url, email,
+             CASE WHEN kind <> 2 THEN first_name END AS first_name, last_name,
+             CASE WHEN kind <> 2 THEN company END AS company, CAST(NULL AS VARCHAR) AS error
+      FROM contacts JOIN placed ON c_name = profile_url""",
+    "rejected_files": f"""
+      SELECT substr('abc', CAST(c_custkey % 3 + 1 AS INTEGER), 1) AS folder, '{S.RUNNING}' AS status,
+             CAST(NULL AS VARCHAR) AS error_message, TIMESTAMP '2024-01-15 03:30:00' AS ts,
+             count(*) AS contacts, count(*) AS positions FROM customer GROUP BY ALL
+      UNION ALL
+      SELECT 'd', '{S.ERROR}', '{S.MISSING_COLUMNS}', TIMESTAMP '2024-01-15 03:30:00', 0, 0""",
 }

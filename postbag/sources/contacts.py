@@ -1,16 +1,20 @@
 """Contact files."""
 
+import csv
+import io
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postbag import schema as S
+from postbag import workspace
 from postbag.operators.addresses import select_contact_fields
 from postbag.sources.logs import run_row
 
 CORRUPT = "_corrupt_record"
-_IN_TASK = (1 << 33) - 1  # the low bits of monotonically_increasing_id count rows of one task
 
 
 def na_to_null(c: Column) -> Column:
@@ -34,43 +38,108 @@ def csv_options(multi_line: bool = True) -> dict[str, str]:
     }
 
 
-def read_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All columns of a header CSV as text, plus ``_corrupt_record`` for rows that do not fit.
+def _headers(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """``file_name, _layout``: the header record of each file that has one.
 
-    Only the header is looked at here; types are never inferred from the data.
+    Read with a single column, a longer record counts as corrupt and so comes back as it stands in the
+    file; ``_layout`` starts with ``n`` then, and with ``1`` where the header is one cell.
     """
-    header = spark.read.options(**csv_options(multi_line)).csv(path)
-    fields = [T.StructField(c, T.StringType()) for c in header.columns if c != CORRUPT]
-    fields.append(T.StructField(CORRUPT, T.StringType()))
-    return spark.read.options(**csv_options(multi_line)).schema(T.StructType(fields)).csv(path)
+    cells = T.StructType([T.StructField(c, T.StringType()) for c in ("_only", CORRUPT)])
+    rows = spark.read.options(**{**csv_options(multi_line), "header": "false"}).schema(cells).csv(path)
+    placed = rows.select(
+        F.col("_metadata.file_path").alias("file_name"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_place"),
+        F.coalesce(F.concat(F.lit("n"), CORRUPT), F.concat(F.lit("1"), "_only"), F.lit("1")).alias("_layout"),
+    )
+    return placed.groupBy("file_name").agg(F.min_by("_layout", "_place").alias("_layout"))
+
+
+def _names(layout: str) -> list[str]:
+    """The names of a header's cells; of equal ones the first keeps the name, later ones get a number.
 
+    Names that differ in case only count as equal, but those we look for come first.
+    """
+    record = layout[1:].lstrip("\ufeff")
+    cells = [record] if layout[0] == "1" else next(csv.reader(io.StringIO(record, newline="")))
+    names: dict[int, str] = {}
+    taken = {CORRUPT, "file_name", "row_pos", "_start", "_id", "_first", "_n", "_offset"}  # columns of our own
+    for i in sorted(range(len(cells)), key=lambda i: (cells[i] not in S.CONTACT_HEADERS, i)):
+        name, k = cells[i] or f"Unnamed: {i}", 0
+        while name.lower() in taken:
+            k += 1
+            name = f"{cells[i]}.{k}"
+        taken.add(name.lower())
+        names[i] = name
+    return [names[i] for i in range(len(cells))]
+
+
+def _lacking(names: Sequence[str]) -> list[str]:
+    return [c for c in S.REQUIRED_HEADERS if c not in names]
+
+
+def _read_layouts(spark: SparkSession, path: str, multi_line: bool, layouts: dict[str, list[str] | None]) -> DataFrame:
+    """The rows of the files of each layout, ``None`` meaning all files, cells found by header name."""
+    parts = []
+    for layout, files in layouts.items():
+        names = _names(layout)
+        fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
+        fields.append(T.StructField(CORRUPT, T.StringType()))
+        rows = spark.read.options(**csv_options(multi_line)).schema(T.StructType(fields)).csv(path)
+        if files is not None:
+            rows = rows.where(F.col("_metadata.file_path").isin(files))
+        parts.append(
+            rows.select(
+                *[F.col(f"_c{i}").alias(name) for i, name in enumerate(names)],
+                misfit(F.col(CORRUPT), len(names)).alias(CORRUPT),
+                F.col("_metadata.file_path").alias("file_name"),
+                F.col("_metadata.file_block_start").alias("_start"),
+            )
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _layouts(headers: DataFrame) -> dict[str, list[str] | None]:
+    """Files by layout; the lists, no longer than Spark's own listing, are only needed beside other layouts."""
+    kinds = [r._layout for r in headers.select("_layout").distinct().orderBy("_layout").collect()]
+    if len(kinds) < 2:
+        return dict.fromkeys(kinds)
+    files = headers.groupBy("_layout").agg(F.collect_list("file_name").alias("files")).collect()
+    return {kind: next(r.files for r in files if r._layout == kind) for kind in kinds}
+
+
+def read_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All columns of header CSVs as text, by each file's own header; types are never inferred.
 
-def missing_columns(df: DataFrame) -> list[str]:
-    return [c for c in S.REQUIRED_HEADERS if c not in df.columns]
+    Beside them stand ``_corrupt_record`` (rows with more cells than their header), ``file_name`` and
+    ``_start``, the place of the block. A file without one of the required columns is an error.
+    """
+    layouts = _layouts(_headers(spark, path, multi_line))
+    if not layouts or any(_lacking(_names(layout)) for layout in layouts):
+        raise ValueError(S.MISSING_COLUMNS)
+    return _read_layouts(spark, path, multi_line, layouts)
 
 
 def require_columns(df: DataFrame) -> DataFrame:
-    """The file as it is, or ``ValueError`` before any row is read."""
-    if missing_columns(df):
+    """The table as it is, or ``ValueError`` before any row is read."""
+    if _lacking(df.columns):
         raise ValueError(S.MISSING_COLUMNS)
     return df
 
 
-def _with_row_pos(raw: DataFrame) -> DataFrame:
-    """Number the rows of each file from 0 in file order.
+def _with_row_pos(raw: DataFrame, per_file: bool = False) -> DataFrame:
+    """Number the rows from 0, files by path and rows as they stand in them; or each file's from 0.
 
-    A task reads a block of a file in order. A narrow second pass over the blocks gives the first
-    id in each block and the rows in the blocks before it; it has one row per block.
+    A task reads a block of a file in order. The rows are written once, with an id each, so that the
+    first id of a block and the rows before it, one short row per block, come from the same reading.
     """
-    block = {
-        "file_name": F.col("_metadata.file_path"),
-        "_start": F.col("_metadata.file_block_start"),
-        "_id": F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_TASK)),
-    }
-    rows = raw.withColumns(block)
+    rows = workspace.keep(raw.withColumn("_id", F.monotonically_increasing_id()), "contact-rows")
     blocks = rows.groupBy("file_name", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy("file_name").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    w = Window.partitionBy("file_name").orderBy("_start") if per_file else Window.orderBy("file_name", "_start")
+    before = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocks.withColumn("_offset", F.coalesce(before, F.lit(0))).drop("_n")
     row_pos = F.col("_id") - F.col("_first") + F.col("_offset")
     return (
         rows.join(offsets, ["file_name", "_start"])
@@ -79,11 +148,11 @@ def _with_row_pos(raw: DataFrame) -> DataFrame:
     )
 
 
-def clean_contacts(raw: DataFrame, width: int, *keep: str) -> DataFrame:
+def clean_contacts(raw: DataFrame, *keep: str) -> DataFrame:
     """Contact fields under our names, missing values as NULL, and ``error`` for rows that do not fit."""
     contacts = select_contact_fields(raw, *keep, CORRUPT)
     cleaned = {name: na_to_null(F.col(name)) for name in S.CONTACT_HEADERS.values()}
-    return contacts.withColumns({**cleaned, "error": misfit(F.col(CORRUPT), width)}).drop(CORRUPT)
+    return contacts.withColumns({**cleaned, "error": F.col(CORRUPT)}).drop(CORRUPT)
 
 
 def read_contacts(
@@ -91,21 +160,17 @@ def read_contacts(
 ) -> DataFrame:
     """``file_name, row_pos``, the contact fields, and ``error`` for rows that could not be parsed.
 
-    Quoted cells may span lines, for which a file must be read by one task; a break inside a cell
-    comes back as a line feed. ``multi_line=False`` lets Spark split files that have no such cells.
-    With ``gapless=False`` positions are in file order but do not start at 0, which spares the
-    second pass over the files.
+    Cells are found by each file's own header. ``row_pos`` counts over all files, which go by path, so
+    that it names one row of the run. Quoted cells may span lines, for which a file must be read by one
+    task; a break inside a cell comes back as a line feed. ``multi_line=False`` lets Spark split files
+    that have no such cells. With ``gapless=False`` positions are unique and in file order but have
+    gaps, which spares writing the rows.
     """
-    raw = require_columns(read_raw(spark, path, multi_line))
-    width = len(raw.columns) - 1
-    if gapless:
-        rows = _with_row_pos(raw)
-    elif multi_line:
-        in_task = F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_TASK))
-        rows = raw.withColumns({"file_name": F.col("_metadata.file_path"), "row_pos": in_task})
-    else:
+    if not gapless and not multi_line:
         raise ValueError("rows of a split file can only be numbered without gaps")
-    return clean_contacts(rows, width, "file_name", "row_pos")
+    raw = read_raw(spark, path, multi_line)
+    rows = _with_row_pos(raw) if gapless else raw.withColumn("row_pos", F.monotonically_increasing_id())
+    return clean_contacts(rows, "file_name", "row_pos")
 
 
 def load_or_reject(
@@ -117,3 +182,30 @@ def load_or_reject(
     except (AnalysisException, ValueError) as e:
         return None, run_row(spark, run_id, path, S.ERROR, str(e), ts)
     return contacts, run_row(spark, run_id, path, S.RUNNING, None, ts)
+
+
+def load_each(
+    spark: SparkSession, path: str, ts: Column, multi_line: bool = True
+) -> tuple[DataFrame | None, DataFrame]:
+    """Every file as a run of its own: the contacts of those accepted, and a row of the run log for each file.
+
+    ``run_id`` is the digest of the file's path, and ``row_pos`` starts at 0 in each file. Files that are
+    wholly empty have no header to judge and no row.
+    """
+    headers = workspace.keep(_headers(spark, path, multi_line), "headers")
+    layouts = {k: files for k, files in _layouts(headers).items() if not _lacking(_names(k))}
+    accepted = F.col("_layout").isin(list(layouts))
+    run_id = F.sha2("file_name", 256)
+    cells = {
+        "run_id": run_id,
+        "seq": F.lit(0),
+        "ts": ts,
+        "file_name": F.col("file_name"),
+        "status": F.when(accepted, S.RUNNING).otherwise(S.ERROR),
+        "error_message": F.when(~accepted, S.MISSING_COLUMNS),
+    }
+    runs = headers.select(*[cells[f.name].cast(f.dataType).alias(f.name) for f in S.RUNS_LOG.fields])
+    if not layouts:
+        return None, runs
+    rows = _with_row_pos(_read_layouts(spark, path, multi_line, layouts), per_file=True)
+    return clean_contacts(rows, "file_name", "row_pos").withColumn("run_id", run_id), runs

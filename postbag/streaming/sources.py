@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from postbag import schema as S
 from postbag.functions.clock import utc_instant
-from postbag.sources.contacts import CORRUPT, clean_contacts, csv_options
+from postbag.sources.contacts import CORRUPT, clean_contacts, csv_options, misfit
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
@@ -27,14 +27,15 @@ def with_event_time(df: DataFrame, ts: str = "ts", delay: str = "0 seconds", out
 def stream_contacts(spark: SparkSession, folder: str, headers: list[str] | None = None) -> DataFrame:
     """Contact files as they are dropped into a folder: ``file_name``, contact fields, ``error``.
 
-    All files have the header row ``headers``, in this order.
+    All files have the header row ``headers``, in this order; another header stops the stream, since
+    its cells would be taken for others.
     """
     names = headers or list(S.CONTACT_HEADERS)
     fields = [T.StructField(h, T.StringType()) for h in [*names, CORRUPT]]
     raw = (
         spark.readStream.schema(T.StructType(fields))
-        .options(**csv_options(), pathGlobFilter="*.csv", recursiveFileLookup="true")
+        .options(**csv_options(), enforceSchema="false", pathGlobFilter="*.csv", recursiveFileLookup="true")
         .csv(folder)
         .withColumn("file_name", F.col("_metadata.file_path"))
     )
-    return clean_contacts(raw, len(names), "file_name")
+    return clean_contacts(raw.withColumn(CORRUPT, misfit(F.col(CORRUPT), len(names))), "file_name")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from postbag import schema as S
 from postbag.operators.addresses import resolve_address, with_address
-from postbag.sources.contacts import load_or_reject, read_contacts, read_raw, require_columns
+from postbag.operators.quota import plan_days
+from postbag.sources.contacts import load_each, load_or_reject, read_contacts, read_raw, require_columns
 
 HEADER = "Person Linkedin Url,Email,First Name,Last Name,Company\n"
 ROWS = (
@@ -77,9 +78,45 @@ def test_positions_over_files_and_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert len(got) == 10 + 4010 + 8010
-    assert all(r.profile_url == f"f{r.f}r{r.row_pos}" for r in got)
+    ahead = {"0": 0, "1": 10, "2": 10 + 4010}
+    assert all(r.profile_url == f"f{r.f}r{r.row_pos - ahead[r.f]}" for r in got)
     whole = read_contacts(spark, str(tmp_path)).select("profile_url", "row_pos").collect()
-    assert all(r.profile_url.endswith(f"r{r.row_pos}") for r in whole) and len(whole) == len(got)
+    assert {tuple(r) for r in whole} == {(r.profile_url, r.row_pos) for r in got} and len(whole) == len(got)
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "u1,a@b,Al,Fox,X\n")
+    (tmp_path / "b.csv").write_text('email,Email,"No,te",Email,Person Linkedin Url\nno,c@d,n,second,u2\nx,,,,u3,more\n')
+    (tmp_path / "c d.csv").write_text("Person Linkedin Url\nu4\n")
+    rows = read_contacts(spark, str(tmp_path)).orderBy("row_pos").collect()
+    got = [(r.row_pos, r.profile_url, r.email, r.company, r.error is None) for r in rows]
+    assert got == [
+        (0, "u1", "a@b", "X", True),
+        (1, "u2", "c@d", None, True),
+        (2, "u3", None, None, False),
+        (3, "u4", None, None, True),
+    ]
+    loose = read_contacts(spark, str(tmp_path), gapless=False).collect()
+    assert len({r.row_pos for r in loose}) == 4 and {r.email for r in loose} == {"a@b", "c@d", None}
+    (tmp_path / "e.csv").write_text("Email\nx@y\n")
+    with pytest.raises(ValueError):
+        read_contacts(spark, str(tmp_path))
+    contacts, runs = load_each(spark, str(tmp_path), F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert [(r.profile_url, r.row_pos) for r in contacts.orderBy("profile_url").collect()] == [
+        ("u1", 0), ("u2", 0), ("u3", 1), ("u4", 0)
+    ]
+    assert [r.status for r in runs.orderBy("file_name").collect()] == [S.RUNNING] * 3 + [S.ERROR]
+    contacts, runs = load_each(spark, str(tmp_path / "e.csv"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert contacts is None and runs.count() == 1
+
+
+def test_the_limit_holds_over_many_files(spark, tmp_path):
+    for f in range(6):
+        (tmp_path / f"c{f}.csv").write_text(HEADER + "".join(f"f{f}r{i},,,,\n" for i in range(5)))
+    run = read_contacts(spark, str(tmp_path)).withColumn("run_id", F.lit("r"))
+    for dense in (True, False):
+        days = plan_days(run, 10, dense=dense).groupBy("send_day").count().orderBy("send_day").collect()
+        assert [tuple(d) for d in days] == [(0, 10), (1, 10), (2, 10)]
 
 
 def test_rejected_files(spark, tmp_path, contact_file):
