@@ -33,6 +33,11 @@ def newest_first(df: DataFrame, ts: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(ts).desc(), F.col(tie).desc())
 
 
+def messages_of_run(messages: DataFrame, run_id: str) -> DataFrame:
+    """Messages of one run, newest first."""
+    return newest_first(where_equals(messages, run_id=run_id), "ts", "message_id")
+
+
 def first_row(df: DataFrame, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(1)
 

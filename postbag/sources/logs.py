@@ -86,11 +86,13 @@ def end_run(
 
 def current_runs(runs_log: DataFrame) -> DataFrame:
     """Latest state of each run, with the start time and the file name it was started with."""
-    started = runs_log.groupBy("run_id").agg(
-        F.min("ts").alias("started"), F.max("file_name").alias("file_name")
+    state = [c for c in runs_log.columns if c not in ("run_id", "file_name", "seq")]
+    runs = runs_log.groupBy("run_id").agg(
+        F.max_by(F.struct(*state), F.struct("seq", "ts")).alias("_last"),
+        F.min("ts").alias("started"),
+        F.max("file_name").alias("file_name"),
     )
-    latest = latest_by_key(runs_log, ["run_id"], ["seq", "ts"]).drop("file_name", "seq")
-    return latest.join(started, "run_id")
+    return runs.select("run_id", "_last.*", "started", "file_name")
 
 
 def message_id(*parts: str) -> Column:

@@ -87,6 +87,8 @@ def test_messages(spark, paths):
     assert H.run_summary(messages).where("run_id = 'r1'").first().asDict() == {
         "run_id": "r1", "total": 2, "sent": 1, "skipped": 0, "failed": 1, "not_attempted": 0,
     }
+    assert [r.profile_url for r in H.messages_of_run(messages, "r1").collect()] == ["u1", "u0"]
+    assert "Join" not in runs._jdf.queryExecution().executedPlan().toString()
     one = H.message_detail(messages, messages.where("profile_url = 'u1'").first().message_id)
     assert [r.body for r in one.collect()] == ["text"]
 
