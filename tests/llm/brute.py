@@ -1,6 +1,8 @@
 """Plain, quadratic or row-by-row versions that the operators are held against."""
 
+import math
 import re
+from collections import Counter, defaultdict
 
 
 def shingle_set(text, width):
@@ -41,3 +43,49 @@ def near_duplicates(texts, width, percent=80):
                     pairs.append((a, b))
     roots = component_map(ids, pairs)
     return {i: (len(sets[i]), roots[i]) for i in ids}
+
+
+def word_ratios(labelled, asked, orders=(7, 6, 5, 4, 3), discount=0.75):
+    """``{word: ratio}`` of the two models of ``(text, toxic)``, from dictionaries of byte strings."""
+
+    def padded(word):
+        return b"^" * (orders[0] - 1) + word + b"$"
+
+    def grams(word, n):
+        return [word[i - n : i] for i in range(orders[0], len(word) + 1)]
+
+    counts = {c: {orders[0]: Counter()} for c in (True, False)}
+    for text, toxic in labelled:
+        for word in set(text.lower().encode().split()):
+            counts[toxic][orders[0]].update(grams(padded(word), orders[0]))
+    for own in counts.values():
+        for n in range(orders[0] - 1, 0, -1):
+            own[n] = Counter(g[1:] for g in own[n + 1])
+    both = {n: counts[True][n] + counts[False][n] for n in (1, 2)}
+
+    def by_context(table):
+        sums, kinds = defaultdict(int), Counter()
+        for g, v in table.items():
+            sums[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        return sums, kinds
+
+    contexts = {(c, n): by_context(counts[c][n]) for c in counts for n in orders}
+    sums2, kinds2 = by_context(both[2])
+    total = sum(both[1].values())
+
+    def p(gram, c):
+        byte = (both[1][gram[-1:]] + 0.5) / (total + 128)
+        before, pair = gram[-2:-1], gram[-2:]
+        out = byte
+        if sums2[before]:
+            out = max(both[2][pair] - discount, 0) / sums2[before] + discount * kinds2[before] / sums2[before] * byte
+        for n in reversed(orders):
+            sums, kinds = contexts[c, n]
+            s = gram[-n:]
+            if sums[s[:-1]]:
+                k = sums[s[:-1]]
+                out = max(counts[c][n][s] - discount, 0) / k + min(discount * kinds[s[:-1]] / k, 1) * out
+        return max(out, 1e-12)
+
+    return {w: sum(math.log(p(g, True) / p(g, False)) for g in grams(padded(w.lower().encode()), orders[0])) for w in asked}

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from brute import near_duplicates as brute_near
+from brute import word_ratios
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -212,6 +213,25 @@ def test_toxicity_held_out(spark):
     assert set(toxicity.drop_toxic(table, model).columns) == {"doc_id", "text"}
 
 
+def test_toxicity_counts_are_exact(spark):
+    """Ratios of words equal those of a model in plain dictionaries, in which no two sequences meet."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(50_000)]
+    docs = [(i, " ".join(words[50 * i : 50 * i + 50])) for i in range(1000)]
+    marks = {i: i % 5 == 0 for i, _ in docs}
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(table, spark.createDataFrame([(i, int(t)) for i, t in marks.items()], "doc_id long, toxic int"))
+    known = [(text, marks[i]) for i, text in docs if zlib.crc32(str(i).encode()) % 3 != 1]
+    asked = r.sample(words, 300) + ["disgusting", "worthless", "x", "äö", "q" * 40]
+    want = word_ratios(known, asked)
+    assert model.counts[7].where("t2 + o2 > 0").count() > 200_000
+    got = {}
+    for row in model.judged(spark.createDataFrame([(w, w) for w in asked], "text string, tag string"), 2, scores=False).collect():
+        got[row.tag] = row.out[0] / 10
+    assert got.keys() == want.keys()
+    assert max(abs(got[w] - want[w]) for w in want) < 1e-5
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
