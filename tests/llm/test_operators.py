@@ -88,6 +88,24 @@ def test_license_scan(spark):
     assert got == {0: (1, "CC-BY-NC-4.0", []), 1: (0, "Apache-2.0", []), 2: (0, "MIT-text", [])}
 
 
+def test_license_scan_inside_lines_and_over_blank_ones(spark):
+    mit, apache = license_scan.TEMPLATES["MIT-text"], license_scan.TEMPLATES["Apache-2.0-notice"]
+    prose = "of the many things to the east and of the west we say little here " * 8
+    texts = [
+        mit.replace("conditions: The", "conditions:\n\nThe"),
+        prose + license_scan.TEMPLATES["CC-BY-4.0"] + " " + prose,
+        prose + "\n" + apache.replace(" License", "\n// License") + "\n" + prose,
+        prose + mit.replace("free of charge", "at no charge").upper() + prose,
+        prose,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = license_scan.scan_licenses(docs).collect()
+    got = [(r.doc_id, r.line, r.lines, r.license, r.differences) for r in rows]
+    assert got[:2] == [(0, 0, 3, "MIT-text", []), (1, 0, 1, "CC-BY-4.0", [])]
+    assert got[2] == (2, 1, 1 + apache.count(" License"), "Apache-2.0-notice", [])
+    assert got[3][:4] == (3, 0, 1, "MIT-text") and got[3][4] and len(got) == 4
+
+
 def test_exact_dedup_over_batches(spark, tmp_path):
     rows = [(5, "a b"), (3, "a\t\n b"), (9, "a b"), (1, None), (2, ""), (None, "z"), (4, "z"), (7, "q"), (7, "q")]
     for k in range(3):
