@@ -106,6 +106,16 @@ def test_license_scan_inside_lines_and_over_blank_ones(spark):
     assert got[3][:4] == (3, 0, 1, "MIT-text") and got[3][4] and len(got) == 4
 
 
+def test_license_scan_gives_every_notice(spark):
+    two = "Released under the MIT License.\nLicensed under CC BY 4.0."
+    texts = [two, two.replace("\n", " "), two + "\n" + two, license_scan.TEMPLATES["GPL-3.0"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, r.line, r.license) for r in license_scan.scan_licenses(docs).collect()]
+    want = [(0, 0, "MIT"), (0, 1, "CC-BY-4.0"), (1, 0, "MIT"), (1, 0, "CC-BY-4.0")]
+    want += [(2, 0, "MIT"), (2, 1, "CC-BY-4.0"), (2, 2, "MIT"), (2, 3, "CC-BY-4.0"), (3, 0, "GPL-3.0")]
+    assert got == want
+
+
 def test_exact_dedup_over_batches(spark, tmp_path):
     rows = [(5, "a b"), (3, "a\t\n b"), (9, "a b"), (1, None), (2, ""), (None, "z"), (4, "z"), (7, "q"), (7, "q")]
     for k in range(3):
