@@ -19,8 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on ten sites or more; ``n_chars`` follows the text."""
-    cleaned = line_dedup.remove_boilerplate(docs)
+    """All documents, without the lines that stand on ten sites or more, and the long ones in three documents or more.
+
+    Only documents without a line of their own stay whole; ``n_chars`` follows the text.
+    """
+    cleaned = line_dedup.remove_boilerplate(docs, long_documents=3, own_lines=True)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         n = F.when(F.col("lines_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))

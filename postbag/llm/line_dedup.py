@@ -37,12 +37,18 @@ def remove_boilerplate(
     site_col: str = "source",
     min_sites: int = 10,
     lg_k: int = 12,
+    long_documents: int | None = None,
+    own_lines: bool = False,
 ) -> DataFrame:
     """``docs`` without boilerplate in their texts, and two more columns: ``n_lines``, ``lines_removed``.
 
     A line is boilerplate when it is on ``min_sites`` sites or more. The first by identifier and
     position stays, the others go. A document of which more than half (in characters) would go is a
-    copy rather than a page with boilerplate: it stays whole, for the dedup of documents to decide.
+    copy rather than a page with boilerplate: it stays whole, for the dedup of documents to decide. With
+    ``own_lines`` only a document that would keep no line is such a copy.
+
+    With ``long_documents``, a line of over 50 words or 300 characters is boilerplate also when it is in
+    that many documents or more, on whatever sites. Rows with the same identifier and text are one.
 
     Blank lines are never boilerplate. A NULL site is a site of its own. NULL texts stay NULL and have
     no lines; an empty one has one. Rows without identifier come last in order; rows that are repeated
@@ -61,6 +67,12 @@ def remove_boilerplate(
     ).where(F.trim("line") != "")
     at = at.withColumn("key", _key(F.col("line")))
     found = keep(boilerplate(at.select("key", "site"), min_sites, lg_k), "boilerplate")
+    if long_documents is not None:
+        long = (F.length("line") > 300) | (F.size(F.split(F.trim("line"), r"\s+")) > 50)
+        passages = at.where((F.length("line") > 100) & long)
+        within = F.concat_ws(" ", F.coalesce(F.col("id").cast("string"), F.lit("")), "body").alias("site")
+        spread = boilerplate(passages.select("key", within), long_documents, lg_k)
+        found = keep(found.unionAll(spread).distinct(), "boilerplate-long")
     hits = keep(
         at.join(found, "key").select("key", "id", "body", "pos", F.length("line").alias("chars")), "boilerplate-lines"
     )
@@ -79,8 +91,10 @@ def remove_boilerplate(
     joined = rows.withColumn("body", F.md5(F.col("text").cast("binary"))).alias("r").join(
         gone.alias("g"), F.expr("r.id <=> g.id AND r.body = g.body"), "left"
     )
-    cut = F.col("g.chars").isNotNull() & (2 * F.col("g.chars") <= total)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("g.gone", i)), "\n")
+    own = F.filter(lines, lambda _, i: ~F.array_contains("g.gone", i))
+    page = F.exists(own, lambda x: F.trim(x) != "") if own_lines else 2 * F.col("g.chars") <= total
+    cut = F.col("g.chars").isNotNull() & page
+    left = F.array_join(own, "\n")
     kept = [c for c in docs.columns if c not in ("n_lines", "lines_removed", text_col)]
     columns = {c: F.col("r.doc").getField(c) for c in kept}
     columns[text_col] = F.when(cut, left).otherwise(F.col("r.text"))

@@ -265,3 +265,15 @@ def test_pipeline(spark, sf):
 
     rows = corpus_pipeline.run(spark, sf).collect()
     assert rows and len({(r.doc_id, r.start) for r in rows}) == len(rows)
+
+
+def test_pipeline_removes_long_passages_of_one_site(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"passage{k}" for k in range(60))
+    own = [" ".join(f"own{i}x{k}" for k in range(90)) for i in range(6)]
+    sites = ["hot", "hot", "hot", None, None, "a"]
+    rows = [(i, f"{own[i]}\n{long}", sites[i]) for i in range(6)] + [(10, "seen twice " * 60, "a"), (11, "seen twice " * 60, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert got == {0: rows[0][1], **dict(enumerate(own[1:], 1)), 10: rows[6][1], 11: rows[7][1]}
