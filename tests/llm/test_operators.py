@@ -277,3 +277,14 @@ def test_pipeline_removes_long_passages_of_one_site(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
     assert got == {0: rows[0][1], **dict(enumerate(own[1:], 1)), 10: rows[6][1], 11: rows[7][1]}
+
+
+def test_pipeline_keeps_whole_only_what_has_no_own_line(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"passage{k}" for k in range(100))
+    own = [" ".join(f"own{i}x{k}" for k in range(60)) for i in range(12)]
+    rows = [(i, f"{long}\n{own[i]}", f"site{i}") for i in range(12)] + [(20, long, "copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert got == {0: rows[0][1], **dict(enumerate(own[1:], 1)), 20: long}
