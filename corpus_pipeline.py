@@ -50,7 +50,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No SQL has the trained models and the tokenizer; a brute-force version in the tests stands in.
+#: No SQL has the trained models and the tokenizer; the tests hold word ratios and near duplicates against brute force.
 ORACLE_SQL = None
 
 
