@@ -4,6 +4,7 @@ from postbag.llm import (
     bpe,
     collision_count,
     exact_dedup,
+    importance,
     license_scan,
     line_dedup,
     minhash,
@@ -24,6 +25,7 @@ _MODULES = (
     bpe,
     line_dedup,
     toxicity,
+    importance,
 )
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
