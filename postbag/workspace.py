@@ -37,3 +37,28 @@ def keep(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     target = path or fresh(spark, label)
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+class Stages:
+    """Written tables that are only needed until something later is written.
+
+    ``drop`` takes tables away that nothing unwritten reads any more; without names, all that are left.
+    Only folders that this object has made are ever touched.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = fresh(self.spark, label)
+        table = keep(df, label, path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for table in tables or [t for t, _ in self.paths.values()]:
+            _, path = self.paths.pop(id(table))
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
