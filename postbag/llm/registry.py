@@ -11,6 +11,7 @@ from postbag.llm import (
     packing,
     token_counts,
     toxicity,
+    vector_codes,
     warc,
 )
 
@@ -25,6 +26,7 @@ _MODULES = (
     bpe,
     line_dedup,
     toxicity,
+    vector_codes,
     importance,
 )
 
