@@ -9,6 +9,7 @@ from postbag.llm import (
     line_dedup,
     minhash,
     packing,
+    quality,
     token_counts,
     toxicity,
     vector_codes,
@@ -26,6 +27,7 @@ _MODULES = (
     bpe,
     line_dedup,
     toxicity,
+    quality,
     vector_codes,
     importance,
 )

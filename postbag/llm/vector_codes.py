@@ -328,4 +328,36 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"op12_vector_codes": op12_vector_codes}
 
-SQL: dict[str, str] = {}
+
+
+def _sql_round(r: int) -> str:
+    """Parts to their nearest entries of codebook ``r``, and the means that make codebook ``r + 1``."""
+    return f"""
+      a{r} AS MATERIALIZED (
+        SELECT vec_id, label, p, x, min({{'d': list_sum(list_transform(range(1, len(x) + 1), i -> (x[i] - y[i]) * (x[i] - y[i]))),
+                                         'e': e}}) AS best
+        FROM parts JOIN b{r} USING (p) GROUP BY ALL),
+      c{r} AS (SELECT p, e, i, sum(v) AS s, count(*) AS n
+               FROM (SELECT p, best.e AS e, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY ALL),
+      m{r} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS y FROM c{r} GROUP BY ALL),
+      b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM b{r} b LEFT JOIN m{r} m USING (p, e)),"""
+
+
+SQL = {
+    "op12_vector_codes": f"""
+      WITH parts AS MATERIALIZED (
+        SELECT vec_id, label, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x
+        FROM (SELECT vec_id, label, list_transform(embedding, x -> CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+             (SELECT unnest(range(4)) AS p)),
+      b0 AS MATERIALIZED (SELECT p, e, y FROM (
+        SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS y FROM parts) WHERE e < 256),
+      {"".join(_sql_round(r) for r in range(5))}
+      books AS (SELECT string_agg(y, ',' ORDER BY p, e) AS books
+                FROM (SELECT p, e, array_to_string(y, ',') AS y FROM b4)),
+      coded AS (SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+                FROM a4 GROUP BY ALL)
+      SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+             sha256(books) AS codebooks_sha256
+      FROM coded, books"""
+}
