@@ -193,8 +193,8 @@ def _assigned(books: Codebooks):
             code, d, bound, stamp, work = assign(x[:, p * width : (p + 1) * width], history[p], groups, *state)
             error += d
             computed += work
-            new.append((code.astype(kind)[:, None], bound, stamp))
-        cells = [np.stack([part[i] for part in new], 1) for i in range(3)]
+            new.append((code[:, None], bound, stamp))
+        cells = [np.stack([part[i] for part in new], 1).astype(of) for i, of in enumerate((kind, np.float32, np.uint8))]
         columns = [pa.array([row.tobytes() for row in c], pa.binary()) for c in cells]
         spent = np.zeros(n, np.int64)
         spent[0] = computed
@@ -334,7 +334,7 @@ def _sql_round(r: int) -> str:
     """Parts to their nearest entries of codebook ``r``, and the means that make codebook ``r + 1``."""
     return f"""
       a{r} AS MATERIALIZED (
-        SELECT vec_id, label, p, x, min({{'d': list_sum(list_transform(range(1, len(x) + 1), i -> (x[i] - y[i]) * (x[i] - y[i]))),
+        SELECT vec_id, label, p, x, min({{'d': list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]))),
                                          'e': e}}) AS best
         FROM parts JOIN b{r} USING (p) GROUP BY ALL),
       c{r} AS (SELECT p, e, i, sum(v) AS s, count(*) AS n
@@ -347,8 +347,8 @@ SQL = {
     "op12_vector_codes": f"""
       WITH parts AS MATERIALIZED (
         SELECT vec_id, label, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x
-        FROM (SELECT vec_id, label, list_transform(embedding, x -> CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
-              WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
              (SELECT unnest(range(4)) AS p)),
       b0 AS MATERIALIZED (SELECT p, e, y FROM (
         SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS y FROM parts) WHERE e < 256),
