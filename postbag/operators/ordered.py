@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postbag import workspace
+
 SHIFTS = (18, 40)
 
 
@@ -142,6 +144,56 @@ def row_position(
     return sum_before(df, run, order, F.lit(1), out, shifts)
 
 
+_ID_BITS = 33  # of a monotonically increasing id, those that count inside a task
+
+
+def ranged_sum(df: DataFrame, order: Sequence[Column], value: Column | None, out: str) -> tuple[DataFrame, DataFrame]:
+    """Sum of ``value`` (1 each if not given) over all rows before each row, in one order of the whole table.
+
+    Gives the rows with ``_part`` and ``out``, and ``_part, _first``: the sum before each part. Parts are
+    ranges of the order, cut by Spark so that they have like numbers of rows. Rows that are equal in
+    ``order`` are told apart by a digest of all they hold, so neither a large group nor one value that most
+    rows share ends in one task. The rows are written once, with their places, since ranges come from a
+    sample; only one total a part is ever ordered as a whole.
+    """
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    keys = [*order, F.xxhash64(*hashed)]
+    rows = df.withColumn("_val", F.lit(1).cast("bigint") if value is None else F.coalesce(value.cast("bigint"), F.lit(0)))
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    rows = workspace.keep(rows.withColumn("_part", F.shiftright("_id", _ID_BITS)), "ordered")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_part").agg(F.sum("_val").alias("_total"))
+    first = F.coalesce(F.sum("_total").over(before.orderBy("_part")), F.lit(0).cast("bigint"))
+    parts = totals.select("_part", first.alias("_first"))
+    if value is None:
+        here = F.col("_id").bitwiseAND(F.lit((1 << _ID_BITS) - 1))
+    else:
+        here = F.coalesce(F.sum("_val").over(before.partitionBy("_part").orderBy("_id")), F.lit(0).cast("bigint"))
+    summed = rows.withColumn("_here", here).join(parts, "_part")
+    return summed.withColumn(out, F.col("_first") + F.col("_here")).drop("_val", "_id", "_here", "_first"), parts
+
+
+def marks_reached(rows: DataFrame, parts: DataFrame, value: str, marks: DataFrame, mark: str, out: str) -> DataFrame:
+    """How many of the ``marks`` are not above each row's ``value``; rows and parts are from ``ranged_sum``.
+
+    Parts and marks are merged by rank first, which says how many marks lie before each part and which part
+    each mark lies in. Inside a part, rows and marks are merged by rank again. No pairs are formed.
+    """
+    small = parts.select(F.col("_first").alias("_at"), F.lit(1).alias("_kind"), "_part").unionByName(
+        marks.select(F.col(mark).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_part"))
+    )
+    so_far = Window.orderBy("_at", "_kind", "_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = small.withColumns(
+        {"_lower": F.sum(1 - F.col("_kind")).over(so_far), "_into": F.last("_part", ignorenulls=True).over(so_far)}
+    )
+    base = merged.where("_kind = 1").select("_part", "_lower")
+    inside = merged.where("_kind = 0 AND _into IS NOT NULL").select(F.col("_into").alias("_part"), F.col("_at").alias(value))
+    both = rows.withColumn("_kind", F.lit(1)).unionByName(inside.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("_part").orderBy(value, "_kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = both.withColumn("_met", F.sum(1 - F.col("_kind")).over(w)).where("_kind = 1")
+    return counted.join(base, "_part").withColumn(out, F.col("_lower") + F.col("_met")).drop("_kind", "_met", "_lower")
+
+
 def slice_rows(df: DataFrame, start: int, count: int, position: str = "row_pos") -> DataFrame:
     """Rows ``start`` to ``start + count - 1`` of every run."""
     return df.where((F.col(position) >= start) & (F.col(position) < start + count))

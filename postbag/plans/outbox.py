@@ -11,22 +11,34 @@ from postbag.operators.addresses import resolve_address, with_address
 from postbag.operators.drafts import Model, personalize
 from postbag.operators.outcomes import classify_message, isolate_errors
 from postbag.operators.pages import contact_pages, needed_pages, with_page_text, with_profile_id
-from postbag.operators.quota import plan_days
+from postbag.operators.quota import plan_by_room, plan_days, plan_shared
 from postbag.sources.logs import message_id
 
 
 def schedule(
     contacts: DataFrame,
     now: Column,
-    limit: int | Column,
+    limit: int | Column | DataFrame,
     sent: int | Column = 0,
     on_file: DataFrame | None = None,
     consumes: Column | None = None,
     dense: bool = False,
+    runs: DataFrame | None = None,
 ) -> DataFrame:
-    """Contacts with ``address``, ``send_day`` and ``send_after``."""
+    """Contacts with ``address``, ``send_day`` and ``send_after``.
+
+    ``limit`` is a number or column, or the table of ``daily_room`` where it changes from day to day. With
+    ``runs`` (as ``current_runs`` gives them) all runs share it; without, each run has it for itself.
+    """
     addressed = with_address(contacts) if on_file is None else resolve_address(contacts, on_file)
-    planned = plan_days(addressed, limit, sent, consumes, dense=dense)
+    if isinstance(limit, DataFrame):
+        if runs is None:
+            raise ValueError("a limit that changes is shared: give the runs")
+        planned = plan_by_room(addressed, runs, limit, consumes)
+    elif runs is not None:
+        planned = plan_shared(addressed, runs, limit, sent, consumes)
+    else:
+        planned = plan_days(addressed, limit, sent, consumes, dense=dense)
     return planned.withColumn("send_after", send_after(now, F.col("send_day")))
 
 

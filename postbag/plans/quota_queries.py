@@ -11,15 +11,25 @@ from postbag.functions.clock import next_window_start, seconds_until, send_after
 from postbag.operators.ordered import row_position, slice_rows
 from postbag.operators.quota import (
     daily_counts,
+    daily_room,
     get_setting,
+    plan_by_room,
     plan_days,
+    plan_shared,
     sent_today,
     with_setting,
 )
 from postbag.plans.contact_queries import SQL_CONTACTS, SQL_INFERRED, customer_contacts
 from postbag.plans.outbox import schedule
 from postbag.plans.tables import setting_writes, sql_micros, sql_setting, table
-from postbag.sources.logs import message_id, read_outbox, write_outbox
+from postbag.sources.logs import (
+    current_runs,
+    ensure_tables,
+    message_id,
+    put_setting,
+    read_outbox,
+    write_outbox,
+)
 
 DAY = dt.date(2024, 1, 15)
 NOW = "2024-01-15 03:30:00"
@@ -126,7 +136,55 @@ def campaign_days(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _segment_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A run per market segment; names of equal length start at the same time."""
+    segments = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("run_id")).distinct()
+    started = F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(hours=F.length("run_id"))
+    log = segments.select("run_id", F.lit(0).alias("seq"), started.alias("ts"), F.lit(S.RUNNING).alias("status"))
+    return current_runs(log.withColumn("file_name", F.col("run_id")))
+
+
+def _in_threes(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
+    """Contacts of which three share each position."""
+    contacts = customer_contacts(spark, folder, *keep)
+    return contacts.withColumn("row_pos", F.floor(F.col("row_pos") / 3))
+
+
+def shared_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """All runs under one limit; contacts in debt, who have an address on file, use no quota."""
+    limit = get_setting(setting_writes(spark, folder), "purchase")
+    contacts = with_setting(_in_threes(spark, folder), limit)
+    runs, no_address = _segment_runs(spark, folder), F.col("email").isNull()
+    room = F.col("daily_limit")
+    planned = plan_shared(contacts, runs, room, 2, no_address, tie=["profile_url"])
+    everyone = plan_shared(contacts, runs, room, 2, tie=["profile_url"], out="day_if_all")
+    return planned.select("run_id", "row_pos", "profile_url", "daily_limit", "send_day").join(
+        everyone.select("profile_url", "day_if_all"), "profile_url"
+    )
+
+
+#: When which limit was written: one for today, none from the third day on, a lower one from the fourth.
+LIMITS = (("200", "2024-01-14 09:00:00"), ("0", "2024-01-17 10:00:00"), ("90", "2024-01-18 12:00:00"))
+
+
+def plan_by_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """All runs under a limit that changes twice, beside errors that are logged on the same days."""
+    settings = ensure_tables(spark, workspace.fresh(spark, "settings"))["settings_log"]
+    for seq, (value, ts) in enumerate(LIMITS):
+        put_setting(spark, settings, S.DAILY_LIMIT_KEY, value, F.lit(ts).cast("timestamp_ntz"), seq)
+    setting_writes(spark, folder).write.mode("append").parquet(settings)
+    sent = daily_counts(table(spark, folder, "events").where("event_type = 'error'"), "CET")
+    now = F.lit(NOW).cast("timestamp_ntz")
+    room = daily_room(spark.read.schema(S.SETTINGS_LOG).parquet(settings), now, sent)
+    planned = plan_by_room(_in_threes(spark, folder), _segment_runs(spark, folder), room, tie=["profile_url"])
+    return planned.select(
+        "run_id", "row_pos", "profile_url", "send_day", send_after(now, F.col("send_day")).alias("send_after")
+    )
+
+
 QUERIES = {
+    "shared_plan": shared_plan,
+    "plan_by_settings": plan_by_settings,
     "campaign_days": campaign_days,
     "sent_on_day": sent_on_day,
     "daily_counts": counts_by_day,
@@ -165,7 +223,30 @@ _PLANNED = f"""
     FROM contacts),
   timed AS (SELECT *, {_send_after(f"TIMESTAMP '{NOW}'", 'send_day')} AS send_after FROM planned)"""
 
+_THREES = f"""
+  WITH contacts AS (SELECT * REPLACE (row_pos // 3 AS row_pos) FROM ({SQL_CONTACTS})),
+  ordered_rows AS (SELECT *, TIMESTAMP '{NOW}' - to_hours(length(run_id)) AS started FROM contacts)"""
+
+_ORDER = "OVER (ORDER BY started, run_id, row_pos, profile_url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
 SQL = {
+    "shared_plan": f"""{_THREES},
+      lim AS (SELECT {sql_setting('purchase', S.DEFAULT_DAILY_LIMIT)} AS daily_limit)
+      SELECT run_id, row_pos, profile_url, daily_limit,
+             CAST((least(2, daily_limit) + coalesce(sum(CASE WHEN email IS NULL THEN 1 ELSE 0 END) {_ORDER}, 0))
+                  // daily_limit AS INTEGER) AS send_day,
+             CAST((least(2, daily_limit) + count(*) {_ORDER}) // daily_limit AS INTEGER) AS day_if_all
+      FROM ordered_rows, lim""",
+    "plan_by_settings": f"""{_THREES},
+      placed AS (SELECT *, count(*) {_ORDER} AS ahead FROM ordered_rows),
+      sent AS (SELECT CAST({_cet('ts')} AS DATE) - DATE '{DAY}' AS day_no, count(*) AS sent FROM events
+               WHERE event_type = 'error' GROUP BY 1),
+      days AS (SELECT day_no, greatest(CASE WHEN day_no < 3 THEN 200 WHEN day_no = 3 THEN 0 ELSE 90 END - coalesce(sent, 0), 0) AS room
+               FROM (SELECT unnest(range(3000)) AS day_no) LEFT JOIN sent USING (day_no)),
+      filled AS (SELECT day_no, sum(room) OVER (ORDER BY day_no) AS until FROM days),
+      planned AS (SELECT run_id, row_pos, profile_url, CAST(min(day_no) AS INTEGER) AS send_day
+                  FROM placed JOIN filled ON until > ahead GROUP BY ALL)
+      SELECT *, {_send_after(f"TIMESTAMP '{NOW}'", 'send_day')} AS send_after FROM planned""",
     "campaign_days": f"""{_PLANNED}
       SELECT run_id, send_day, send_after, count(*) AS messages,
              count(*) FILTER (WHERE address_is_inferred) AS inferred, min(row_pos) AS first_row
