@@ -19,9 +19,9 @@ from postbag.plans.tables import (
     sql_text,
     table,
 )
-from postbag.sources.contacts import load_each, read_contacts
+from postbag.sources.contacts import load_each, read_contacts, read_split_contacts
 from postbag.sources.logs import message_id
-from postbag.streaming.sinks import append_sink, run_to_end
+from postbag.streaming.sinks import append_sink, contact_sink, read_contact_sink, run_to_end
 from postbag.streaming.sources import stream_contacts
 
 
@@ -187,6 +187,34 @@ def rejected_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def split_contacts(spark: SparkSession, folder: str) -> DataFrame:
+    """One file with line breaks in its cells, whose blocks are read by as many tasks as it has."""
+    path = workspace.fresh(spark, "one-file")
+    _write_csv(_awkward_file(spark, folder, "c_custkey").coalesce(1).sortWithinPartitions("c_custkey").drop("c_custkey"), path)
+    return read_split_contacts(spark, path).drop("file_name")
+
+
+def stream_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of three layouts and rejected ones dropped in three goes: what each folder has in the run log."""
+    ts = F.lit("2024-01-15 03:30:00").cast("timestamp_ntz")
+    inbox, out = workspace.fresh(spark, "inbox"), workspace.fresh(spark, "mixed-stream")
+    rows = _awkward_file(spark, folder, "c_custkey")
+    usual = [c for c in rows.columns if c != "c_custkey"]
+    layouts = {"a": usual, "b": [*reversed(usual), F.lit("x, y").alias("Note")], "c": ["Email", usual[0]], "d": usual[1:]}
+    for goes in ("ad", "b", "c"):
+        for name in goes:
+            part = rows.where(F.col("c_custkey") % 4 == ord(name) - ord("a"))
+            _write_csv(part.select(*layouts[name]), f"{inbox}/{name}")
+        run_to_end(contact_sink(spark, inbox, out, out + "-checkpoint", ts))
+    contacts, runs = read_contact_sink(spark, out)
+    runs = runs.withColumn("folder", F.element_at(F.split("file_name", "/"), -2))
+    per_file = contacts.groupBy("run_id").agg(
+        F.count("profile_url").alias("n"), F.count("email").alias("m"), F.count("company").alias("k")
+    )
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("n", "profiles"), ("m", "emails"), ("k", "companies"))]
+    return runs.join(per_file, "run_id", "left").groupBy("folder", "status", "error_message", "ts").agg(*sums)
+
+
 def contact_rows(spark: SparkSession, folder: str) -> DataFrame:
     return row_count(customer_contacts(spark, folder))
 
@@ -203,6 +231,8 @@ QUERIES = {
     "contact_rows": contact_rows,
     "campaign_files": campaign_files,
     "rejected_files": rejected_files,
+    "split_contacts": split_contacts,
+    "stream_mixed": stream_mixed,
 }
 
 SQL = {
@@ -258,6 +288,17 @@ SQL = {
              CASE WHEN kind <> 2 THEN first_name END AS first_name, last_name,
              CASE WHEN kind <> 2 THEN company END AS company, CAST(NULL AS VARCHAR) AS error
       FROM contacts JOIN placed ON c_name = profile_url""",
+    "split_contacts": f"""
+      SELECT row_number() OVER (ORDER BY profile_url) - 1 AS row_pos, profile_url, email, first_name, last_name, company,
+             CAST(NULL AS VARCHAR) AS error FROM ({SQL_FILE})""",
+    "stream_mixed": f"""
+      WITH f AS (SELECT c_custkey % 4 AS kind, f.* FROM ({SQL_FILE}) f JOIN customer ON c_name = profile_url)
+      SELECT substr('abc', CAST(kind + 1 AS INTEGER), 1) AS folder, '{S.RUNNING}' AS status,
+             CAST(NULL AS VARCHAR) AS error_message, TIMESTAMP '2024-01-15 03:30:00' AS ts,
+             count(*) AS profiles, count(email) AS emails, count(CASE WHEN kind <> 2 THEN company END) AS companies
+      FROM f WHERE kind < 3 GROUP BY ALL
+      UNION ALL
+      SELECT 'd', '{S.ERROR}', '{S.MISSING_COLUMNS}', TIMESTAMP '2024-01-15 03:30:00', 0, 0, 0""",
     "rejected_files": f"""
       SELECT substr('abc', CAST(c_custkey % 3 + 1 AS INTEGER), 1) AS folder, '{S.RUNNING}' AS status,
              CAST(NULL AS VARCHAR) AS error_message, TIMESTAMP '2024-01-15 03:30:00' AS ts,

@@ -13,6 +13,7 @@ from postbag import schema as S
 from postbag import workspace
 from postbag.operators.addresses import select_contact_fields
 from postbag.sources.logs import run_row
+from postbag.sources.records import split_records, text_lines
 
 CORRUPT = "_corrupt_record"
 
@@ -21,7 +22,7 @@ def na_to_null(c: Column) -> Column:
     return F.when(~c.isin(*S.NA_TOKENS), c)
 
 
-def misfit(record: Column, width: int) -> Column:
+def misfit(record: Column, width: int | Column) -> Column:
     """The record if it has more cells than the header; a short one just lacks its last cells."""
     unquoted = F.regexp_replace(record, r'"[^"]*"', "")
     return F.when(F.size(F.split(unquoted, ",")) > width, record)
@@ -77,49 +78,94 @@ def _lacking(names: Sequence[str]) -> list[str]:
     return [c for c in S.REQUIRED_HEADERS if c not in names]
 
 
-def _read_layouts(spark: SparkSession, path: str, multi_line: bool, layouts: dict[str, list[str] | None]) -> DataFrame:
-    """The rows of the files of each layout, ``None`` meaning all files, cells found by header name."""
-    parts = []
-    for layout, files in layouts.items():
-        names = _names(layout)
-        fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
-        fields.append(T.StructField(CORRUPT, T.StringType()))
-        rows = spark.read.options(**csv_options(multi_line)).schema(T.StructType(fields)).csv(path)
-        if files is not None:
-            rows = rows.where(F.col("_metadata.file_path").isin(files))
-        parts.append(
-            rows.select(
-                *[F.col(f"_c{i}").alias(name) for i, name in enumerate(names)],
-                misfit(F.col(CORRUPT), len(names)).alias(CORRUPT),
-                F.col("_metadata.file_path").alias("file_name"),
-                F.col("_metadata.file_block_start").alias("_start"),
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
-def _layouts(headers: DataFrame) -> dict[str, list[str] | None]:
-    """Files by layout; the lists, no longer than Spark's own listing, are only needed beside other layouts."""
-    kinds = [r._layout for r in headers.select("_layout").distinct().orderBy("_layout").collect()]
-    if len(kinds) < 2:
-        return dict.fromkeys(kinds)
-    files = headers.groupBy("_layout").agg(F.collect_list("file_name").alias("files")).collect()
-    return {kind: next(r.files for r in files if r._layout == kind) for kind in kinds}
+def _commas(record: Column) -> Column:
+    return F.length(record) - F.length(F.replace(record, F.lit(","))) + 1
+
+
+def _text(fields: int, *more: str) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*[f"_c{i}" for i in range(fields)], *more]])
+
+
+def _scan(spark: SparkSession, path: str, multi_line: bool, headers: DataFrame) -> DataFrame:
+    """All rows of all files in one reading: ``_cells``, the record where it does not fit, file and block.
+
+    What is read has as many cells as the widest header; only that number comes to the driver. Beside a
+    narrower header, a row of just that width is no misfit to Spark: its record is made from its cells.
+    """
+    width = headers.agg(F.max(_width(F.col("_layout"), F.col("_layout")))).first()[0] or 1
+    rows = spark.read.options(**csv_options(multi_line)).schema(_text(width, CORRUPT)).csv(path)
+    return rows.select(
+        F.array(*[f"_c{i}" for i in range(width)]).alias("_cells"),
+        CORRUPT,
+        F.col("_metadata.file_path").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("_start"),
+    )
+
+
+def _placed(headers: DataFrame) -> DataFrame:
+    """``file_name, _width, _at, _accepted``: where each contact field is in a file, and if it has the required ones."""
+    width = headers.agg(F.max(_commas(F.col("_layout")))).first()[0] or 1
+    record = F.regexp_replace(F.substring("_layout", 2, 1 << 30), "^\ufeff", "")
+    names = F.when(F.substring("_layout", 1, 1) == "1", F.array(record)).otherwise(_cells(record, width))
+    places = {f: F.nullif(F.array_position("_names", F.lit(h)), F.lit(0)) for h, f in S.CONTACT_HEADERS.items()}
+    lacking = F.lit(False)
+    for h in S.REQUIRED_HEADERS:
+        lacking = lacking | F.col("_at").getField(S.CONTACT_HEADERS[h]).isNull()
+    return (
+        headers.select("file_name", names.alias("_names"), _width(record, F.col("_layout")).alias("_width"))
+        .withColumn("_at", F.struct(*[p.cast("int").alias(f) for f, p in places.items()]))
+        .select("file_name", "_width", "_at", (~lacking).alias("_accepted"))
+    )
+
+
+def _width(record: Column, layout: Column) -> Column:
+    cells = F.size(F.split(F.regexp_replace(record, r'"[^"]*"', ""), ","))
+    return F.when(F.substring(layout, 1, 1) == "1", 1).otherwise(cells)
+
+
+def _contacts(rows: DataFrame, placed: DataFrame, record: str, *keep: str, error: Column | None = None) -> DataFrame:
+    """Contact fields by each file's own header, ``error`` for rows that do not fit, and the columns ``keep``.
+
+    Rows meet the header of their file in a join and find their cells by the places it gives, so all
+    layouts are read in one go and neither headers nor names of files leave the cluster.
+    """
+    found = rows.join(placed.where("_accepted").select("file_name", "_width", "_at"), "file_name")
+    cells = {f: na_to_null(F.try_element_at("_cells", F.col("_at").getField(f))) for f in S.CONTACT_HEADERS.values()}
+    wide = F.when(_commas(F.col(record)) > F.col("_width"), misfit(F.col(record), F.col("_width")))
+    wide = F.when((F.size("_cells") > F.col("_width")) & F.col(record).isNull(), F.array_join("_cells", ",", "")).otherwise(wide)
+    return found.select(
+        *keep,
+        *[c.alias(f) for f, c in cells.items()],
+        F.coalesce(*([] if error is None else [error]), wide).alias("error"),
+    )
 
 
 def read_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """All columns of header CSVs as text, by each file's own header; types are never inferred.
 
     Beside them stand ``_corrupt_record`` (rows with more cells than their header), ``file_name`` and
-    ``_start``, the place of the block. A file without one of the required columns is an error.
+    ``_start``, the place of the block. A file without one of the required columns is an error. The
+    different headers, not the files that have them, come to the driver: they make the columns.
     """
-    layouts = _layouts(_headers(spark, path, multi_line))
-    if not layouts or any(_lacking(_names(layout)) for layout in layouts):
+    headers = workspace.keep(_headers(spark, path, multi_line), "headers")
+    layouts = {r._layout: _names(r._layout) for r in headers.select("_layout").distinct().orderBy("_layout").collect()}
+    if not layouts or any(_lacking(names) for names in layouts.values()):
         raise ValueError(S.MISSING_COLUMNS)
-    return _read_layouts(spark, path, multi_line, layouts)
+    rows = _scan(spark, path, multi_line, headers).join(headers, "file_name")
+    columns: dict[str, list[Column]] = {}
+    wide = []
+    for layout, names in layouts.items():
+        here = F.col("_layout") == layout
+        full = F.col(CORRUPT).isNull() & (F.size("_cells") > len(names))
+        wide.append(F.when(here & full, F.array_join("_cells", ",", "")).when(here, misfit(F.col(CORRUPT), len(names))))
+        for i, name in enumerate(names):
+            columns.setdefault(name, []).append(F.when(here, F.get("_cells", F.lit(i))))
+    return rows.select(
+        *[F.coalesce(*c).alias(name) for name, c in columns.items()],
+        F.coalesce(*wide).alias(CORRUPT),
+        "file_name",
+        "_start",
+    )
 
 
 def require_columns(df: DataFrame) -> DataFrame:
@@ -155,6 +201,68 @@ def clean_contacts(raw: DataFrame, *keep: str) -> DataFrame:
     return contacts.withColumns({**cleaned, "error": F.col(CORRUPT)}).drop(CORRUPT)
 
 
+def _cells(record: Column, width: int) -> Column:
+    """The cells of a record, as many as it has up to ``width``; the others are NULL."""
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    parsed = F.from_csv(record, fields, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    return F.array(*[parsed.getField(f"c{i}") for i in range(width)])
+
+
+def _judged_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contacts of ``split_records``, numbered from 0 in each file, and ``file_name, _accepted`` for each file."""
+    records = workspace.keep(records, "contact-records")
+    first = records.where("_rec = 0 AND _unclosed IS NULL")
+    headers = first.select("file_name", F.concat(F.lit("n"), "_record").alias("_layout"))
+    placed = workspace.keep(_placed(headers), "headers")
+    width = headers.agg(F.max(_commas(F.col("_layout")))).first()[0] or 1
+    rows = records.where("_rec > 0 OR _unclosed IS NOT NULL").withColumn("_cells", _cells(F.col("_record"), width))
+    rows = rows.withColumn("row_pos", F.col("_rec") - 1)
+    return _contacts(rows, placed, "_record", "file_name", "row_pos", error=F.col("_unclosed")), placed
+
+
+def read_split_contacts(spark: SparkSession, path: str) -> DataFrame:
+    """``read_contacts`` with files read by many tasks each, whatever breaks are in quoted cells.
+
+    Cells, positions and errors are those of ``read_contacts``, for files in which quotes only stand around
+    cells or doubled inside them; see ``split_records`` for a quote that is never closed.
+    """
+    contacts, files = _judged_records(split_records(text_lines(spark, path)))
+    if files.where("NOT _accepted").limit(1).count() or not files.limit(1).count():
+        raise ValueError(S.MISSING_COLUMNS)
+    contacts = workspace.keep(contacts, "split-contacts")
+    sizes = contacts.groupBy("file_name").agg((F.max("row_pos") + 1).alias("_n"))
+    before = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)  # one short row a file
+    offsets = sizes.select("file_name", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return contacts.join(offsets, "file_name").withColumn("row_pos", F.col("row_pos") + F.col("_offset")).drop("_offset")
+
+
+def load_lines(lines: DataFrame, ts: Column) -> tuple[DataFrame, DataFrame]:
+    """Every file of ``text_lines`` as a run of its own: the contacts of those accepted, and a row of the run log each.
+
+    ``run_id`` is the digest of the file's path, and ``row_pos`` starts at 0 in each file. Files that are
+    wholly empty have no header to judge and no row.
+    """
+    contacts, files = _judged_records(split_records(lines))
+    return contacts.withColumn("run_id", _run_of_file()), _run_rows(files, ts)
+
+
+def _run_of_file() -> Column:
+    return F.sha2("file_name", 256)
+
+
+def _run_rows(files: DataFrame, ts: Column) -> DataFrame:
+    """A row of the run log for each file: Running if it was accepted, or Error with the reason."""
+    cells = {
+        "run_id": _run_of_file(),
+        "seq": F.lit(0),
+        "ts": ts,
+        "file_name": F.col("file_name"),
+        "status": F.when(F.col("_accepted"), S.RUNNING).otherwise(S.ERROR),
+        "error_message": F.when(~F.col("_accepted"), S.MISSING_COLUMNS),
+    }
+    return files.select(*[cells[f.name].cast(f.dataType).alias(f.name) for f in S.RUNS_LOG.fields])
+
+
 def read_contacts(
     spark: SparkSession, path: str, multi_line: bool = True, gapless: bool = True
 ) -> DataFrame:
@@ -168,9 +276,13 @@ def read_contacts(
     """
     if not gapless and not multi_line:
         raise ValueError("rows of a split file can only be numbered without gaps")
-    raw = read_raw(spark, path, multi_line)
+    headers = workspace.keep(_headers(spark, path, multi_line), "headers")
+    placed = workspace.keep(_placed(headers), "headers")
+    if placed.where("NOT _accepted").limit(1).count() or not placed.limit(1).count():
+        raise ValueError(S.MISSING_COLUMNS)
+    raw = _scan(spark, path, multi_line, headers)
     rows = _with_row_pos(raw) if gapless else raw.withColumn("row_pos", F.monotonically_increasing_id())
-    return clean_contacts(rows, "file_name", "row_pos")
+    return _contacts(rows, placed, CORRUPT, "file_name", "row_pos")
 
 
 def load_or_reject(
@@ -193,19 +305,9 @@ def load_each(
     wholly empty have no header to judge and no row.
     """
     headers = workspace.keep(_headers(spark, path, multi_line), "headers")
-    layouts = {k: files for k, files in _layouts(headers).items() if not _lacking(_names(k))}
-    accepted = F.col("_layout").isin(list(layouts))
-    run_id = F.sha2("file_name", 256)
-    cells = {
-        "run_id": run_id,
-        "seq": F.lit(0),
-        "ts": ts,
-        "file_name": F.col("file_name"),
-        "status": F.when(accepted, S.RUNNING).otherwise(S.ERROR),
-        "error_message": F.when(~accepted, S.MISSING_COLUMNS),
-    }
-    runs = headers.select(*[cells[f.name].cast(f.dataType).alias(f.name) for f in S.RUNS_LOG.fields])
-    if not layouts:
+    placed = workspace.keep(_placed(headers), "headers")
+    runs = _run_rows(placed, ts)
+    if not placed.where("_accepted").limit(1).count():
         return None, runs
-    rows = _with_row_pos(_read_layouts(spark, path, multi_line, layouts), per_file=True)
-    return clean_contacts(rows, "file_name", "row_pos").withColumn("run_id", run_id), runs
+    rows = _with_row_pos(_scan(spark, path, multi_line, headers), per_file=True)
+    return _contacts(rows, placed, CORRUPT, "file_name", "row_pos").withColumn("run_id", _run_of_file()), runs

@@ -2,12 +2,14 @@
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from postbag.operators.history import latest_by_key
+from postbag.sources.contacts import load_lines
+from postbag.streaming.sources import stream_lines
 
 BATCH = "batch_id"
 
@@ -112,6 +114,33 @@ def stream_run_status(
     )
 
 
+def contact_sink(spark: SparkSession, folder: str, path: str, checkpoint: str, ts: Column, **options) -> StreamingQuery:
+    """Contact files as they arrive, each under its own header and as a run of its own.
+
+    Each batch has a folder for the contacts it accepts and one for the rows of the run log; a file without
+    a required column gets its row, with the reason, and the stream goes on. A batch that is run again
+    replaces its folders. ``read_contact_sink`` reads both.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        contacts, runs = load_lines(batch, ts)
+        for name, rows in (("contacts", contacts), ("runs", runs)):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/{BATCH}={batch_id}")
+
+    return (
+        stream_lines(spark, folder, **options)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_contact_sink(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Accepted contacts and run log of ``contact_sink``."""
+    return tuple(spark.read.parquet(f"{path}/{name}").drop(BATCH) for name in ("contacts", "runs"))
+
+
 def dropped_rows(query: StreamingQuery) -> int:
     """Rows left out as too late, over the batches this query object has reported."""
     return sum(
