@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postbag import workspace
 from postbag.plans.decision_queries import (
@@ -22,7 +21,8 @@ from postbag.streaming.sinks import (
 )
 from postbag.streaming.sources import stream_table, with_event_time
 
-END = "2100-01-01 00:00:00"
+#: Where the rows of the decision stream are cut into three goes.
+CUTS = ("1900-01-01", "1997-03-01", "1999-05-01", "2200-01-01")
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,29 +62,21 @@ def late_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("day date, sent bigint").parquet(out)
 
 
-def _with_end(spark: SparkSession, rows: DataFrame, label: str) -> DataFrame:
-    """The stream and one more row at the end of time, which lets all windows before it close."""
-    path = workspace.fresh(spark, label)
-    last = [
-        (F.lit(END) if f.name == "ts" else F.lit("-1") if f.name == "message_id" else F.lit("Enter"))
-        .cast(f.dataType)
-        .alias(f.name)
-        for f in rows.schema.fields
-    ]
-    spark.range(0, 1, 1, 1).select(*last).write.parquet(path)
-    return with_event_time(rows.unionByName(stream_table(spark, path, T.StructType(rows.schema.fields))))
-
-
 def decisions_stream(spark: SparkSession, folder: str) -> DataFrame:
-    drafts = _with_end(spark, order_drafts(_stream(spark, folder, "orders")), "drafts-end")
-    presses = _with_end(spark, line_decisions(_stream(spark, folder, "lineitem")), "decisions-end")
-    decided = stream_decisions(drafts, presses, timeout_seconds=REVIEW_DAYS * 86_400)
-    flat = decided.withColumns(
-        {c: F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")) for c in ("drafted_at", "decided_at")}
-    )
-    out = workspace.fresh(spark, "stream-decisions")
-    run_to_end(append_sink(flat, out, out + "-checkpoint"))
-    return spark.read.schema(flat.schema).parquet(out)
+    """Orders and their lines in three goes by time, each a restart of the stream; what is certain by the end."""
+    orders, lines = order_drafts(table(spark, folder, "orders")), line_decisions(table(spark, folder, "lineitem"))
+    drafts, presses, out = (workspace.fresh(spark, name) for name in ("drafts", "presses", "stream-decisions"))
+    decided = None
+    for start, end in zip(CUTS, CUTS[1:]):
+        for rows, path in ((orders, drafts), (lines, presses)):
+            rows.where((F.col("ts") >= start) & (F.col("ts") < end)).write.mode("append").parquet(path)
+        streams = [with_event_time(stream_table(spark, p, t.schema)) for t, p in ((orders, drafts), (lines, presses))]
+        decided = stream_decisions(*streams, timeout_seconds=REVIEW_DAYS * 86_400)
+        decided = decided.withColumns(
+            {c: F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")) for c in ("drafted_at", "decided_at")}
+        )
+        run_to_end(append_sink(decided, out, out + "-checkpoint"))
+    return spark.read.schema(decided.schema).parquet(out)
 
 
 QUERIES = {
@@ -106,5 +98,7 @@ SQL = {
       SELECT day, count(*) AS sent FROM d, m
       WHERE day_end <= last_mark AND (event_type <> 'error' OR day_end > first_mark) GROUP BY 1""",
     "stream_decisions": f"""{SQL_MESSAGE_DECISIONS}
-      SELECT message_id, ts AS drafted_at, decided_at, pressed, {SQL_DECISION} AS decision FROM j WHERE nth = 1""",
+      , mark AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) AS mark)
+      SELECT message_id, ts AS drafted_at, decided_at, pressed, {SQL_DECISION} AS decision FROM j, mark
+      WHERE nth = 1 AND coalesce(decided_at, ts + to_days(CAST({REVIEW_DAYS} AS INTEGER))) < mark""",
 }

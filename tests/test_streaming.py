@@ -6,7 +6,7 @@ from postbag import schema as S
 from postbag import workspace
 from postbag.operators.history import latest_by_key
 from postbag.streaming import sinks, sources
-from postbag.streaming.operators import stream_daily_counts
+from postbag.streaming.operators import stream_daily_counts, stream_decisions
 
 EVENTS = "event_id long, ts timestamp_ntz, kind string"
 
@@ -127,3 +127,35 @@ def test_latest_is_the_same_in_batch_and_stream(spark, sf):
     streamed = sinks.read_upserts(spark, out, events.schema, ["user_id"], ["event_id"])
     batch = latest_by_key(events, ["user_id"], ["event_id"])
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_decisions_are_exact_and_their_state_is_freed(spark):
+    drafts, presses, out = (workspace.fresh(spark, n) for n in ("drafts", "presses", "decided"))
+    shapes = "message_id string, ts timestamp_ntz", "message_id string, ts timestamp_ntz, key string"
+
+    def arrive(new_drafts, new_presses):
+        for path, shape, cells in ((drafts, shapes[0], new_drafts), (presses, shapes[1], new_presses)):
+            day = [(i, dt.datetime.fromisoformat("2024-01-01T" + t), *more) for i, t, *more in cells]
+            spark.createDataFrame(day, shape).coalesce(1).write.mode("append").parquet(path)
+        streams = [
+            sources.with_event_time(sources.stream_table(spark, p, spark.createDataFrame([], s).schema), delay="10 seconds")
+            for p, s in zip((drafts, presses), shapes)
+        ]
+        query = sinks.run_to_end(sinks.append_sink(stream_decisions(*streams), out, out + "-c"))
+        got = spark.read.parquet(out).collect()
+        return {r.message_id: (r.pressed, r.decision) for r in got}, query.lastProgress.stateOperators[0].numRowsTotal
+
+    end = [("end", "10:20:00")]
+    got, _ = arrive(
+        [("a", "10:00:00"), ("b", "10:00:00.000001"), ("c", "10:00:00"), ("e", "10:00:05"), (None, "10:00:00")],
+        [("a", "10:05:00", "Enter"), ("b", "10:00:00.000001", "Enter"), ("c", "10:05:00.000001", "Enter"), ("e", "10:00:07", "x"), ("d", "10:04:58", "Enter"), (None, "10:00:01", "Enter")],
+    )
+    assert got == {}  # the mark of the drafts is behind
+    got, _ = arrive([("d", "10:04:57")], [("a", "10:04:59", "Backspace"), ("b", "10:05:00.000001", "Backspace")])
+    assert got == {}
+    got, _ = arrive(end, [("end", "10:06:00", "Backspace")])
+    assert got == {"a": ("Backspace", "skip"), "b": ("Backspace", "skip"), "c": (None, None), "d": ("Enter", "go"), "e": (None, None)}
+    got, kept = arrive([("z", "11:00:00")], [("z", "11:00:00.5", "Enter"), ("a", "11:00:00", "Enter")])
+    assert len(got) == 6 and got["end"] == (None, None)
+    got, kept = arrive([("q", "12:00:00")], [("q", "12:30:00", "Enter")])
+    assert len(got) == 7 and got["z"] == ("Enter", "go") and kept <= 2
