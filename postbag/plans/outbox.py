@@ -5,11 +5,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postbag import schema as S
 from postbag import workspace
 from postbag.functions.clock import send_after
 from postbag.operators.addresses import resolve_address, with_address
+from postbag.operators.decisions import await_decision
 from postbag.operators.drafts import Model, personalize
-from postbag.operators.outcomes import classify_message, isolate_errors
+from postbag.operators.outcomes import classify_message, classify_run, isolate_errors
 from postbag.operators.pages import contact_pages, needed_pages, with_page_text, with_profile_id
 from postbag.operators.quota import plan_by_room, plan_days, plan_shared
 from postbag.sources.logs import message_id
@@ -98,3 +100,48 @@ def outcomes(
         now.alias("ts"),
         *keep,
     )
+
+
+def reviewed_outcomes(
+    drafts: DataFrame,
+    presses: DataFrame,
+    key: str = "message_id",
+    tie: str | None = None,
+    timeout: float = S.REVIEW_SECONDS,
+    keep: Sequence[str] = (),
+    **rules: Column,
+) -> DataFrame:
+    """``outcomes`` of drafts that wait for a reviewer from their ``ts`` on; what is pressed decides.
+
+    ``rules`` are those of ``outcomes``, such as ``no_recipient``.
+    """
+    decided = await_decision(drafts, presses, key, tie, timeout)
+    return outcomes(decided, F.col("ts"), review=F.lit(True), pressed=F.col("pressed"), keep=keep, **rules)
+
+
+def unfinished(contacts: DataFrame, messages: DataFrame) -> DataFrame:
+    """The contacts of which the log has no outcome: what is left of runs that broke off, or all of them.
+
+    Whatever the place at which a run broke off, a contact is either logged or planned again.
+    """
+    keyed = contacts.withColumn("_message", message_id("run_id", "row_pos"))
+    logged = messages.select(F.col("message_id").alias("_message"))
+    return keyed.join(logged, "_message", "left_anti").drop("_message")
+
+
+def run_states(contacts: DataFrame, messages: DataFrame, ended: Column, interrupted: Column | None = None) -> DataFrame:
+    """``run_id, total, attempted, status, error_message`` of each run, from its contacts and the log."""
+    totals = contacts.groupBy("run_id").agg(F.count("*").alias("total"))
+    logged = messages.groupBy("run_id").agg(F.count("*").alias("_logged"))
+    both = totals.join(logged, "run_id", "left").withColumn("attempted", F.coalesce("_logged", F.lit(0)))
+    state = classify_run(F.col("total"), F.col("attempted"), ended, interrupted=interrupted)
+    return both.withColumn("_state", state).select("run_id", "total", "attempted", "_state.*")
+
+
+def log_run_states(states: DataFrame, path: str, ts: Column, seq: int) -> None:
+    """Append what became of each run to the run log."""
+    cells = {"seq": F.lit(seq), "ts": ts, "file_name": F.lit(None)}
+    rows = states.select(
+        *[cells.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in S.RUNS_LOG.fields]
+    )
+    rows.write.mode("append").parquet(path)

@@ -206,7 +206,7 @@ def _utc(local: str) -> str:
     return f"(({local} AT TIME ZONE 'CET') AT TIME ZONE 'UTC')"
 
 
-def _send_after(ts: str, day: str) -> str:
+def send_after_sql(ts: str, day: str) -> str:
     local = f"(date_trunc('day', {_cet(ts)}) + to_days(CAST({day} AS INTEGER)) + INTERVAL 5 HOUR)"
     return f"CASE WHEN {day} = 0 THEN {ts} ELSE {_utc(local)} END"
 
@@ -221,7 +221,7 @@ _PLANNED = f"""
     SELECT *, coalesce(email, {SQL_INFERRED}) AS address, email IS NULL AS address_is_inferred,
       CAST((5 + row_number() OVER (PARTITION BY run_id ORDER BY row_pos) - 1) // 40 AS INTEGER) AS send_day
     FROM contacts),
-  timed AS (SELECT *, {_send_after(f"TIMESTAMP '{NOW}'", 'send_day')} AS send_after FROM planned)"""
+  timed AS (SELECT *, {send_after_sql(f"TIMESTAMP '{NOW}'", 'send_day')} AS send_after FROM planned)"""
 
 _THREES = f"""
   WITH contacts AS (SELECT * REPLACE (row_pos // 3 AS row_pos) FROM ({SQL_CONTACTS})),
@@ -246,7 +246,7 @@ SQL = {
       filled AS (SELECT day_no, sum(room) OVER (ORDER BY day_no) AS until FROM days),
       planned AS (SELECT run_id, row_pos, profile_url, CAST(min(day_no) AS INTEGER) AS send_day
                   FROM placed JOIN filled ON until > ahead GROUP BY ALL)
-      SELECT *, {_send_after(f"TIMESTAMP '{NOW}'", 'send_day')} AS send_after FROM planned""",
+      SELECT *, {send_after_sql(f"TIMESTAMP '{NOW}'", 'send_day')} AS send_after FROM planned""",
     "campaign_days": f"""{_PLANNED}
       SELECT run_id, send_day, send_after, count(*) AS messages,
              count(*) FILTER (WHERE address_is_inferred) AS inferred, min(row_pos) AS first_row
@@ -282,7 +282,7 @@ SQL = {
     "send_window": f"""
       SELECT event_id, {_cet('ts')} AS local_ts, {_NEXT} AS next_start,
              ({sql_micros(_NEXT)} - {sql_micros('ts')}) / CAST(1000000 AS DOUBLE) AS wait_seconds,
-             {_send_after('ts', '(user_id % 3)')} AS planned
+             {send_after_sql('ts', '(user_id % 3)')} AS planned
       FROM events""",
     "outbox_by_day": f"""{_PLANNED}
       SELECT sha256(run_id || chr(31) || row_pos) AS message_id, run_id, row_pos, profile_url, address,

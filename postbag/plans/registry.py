@@ -8,6 +8,7 @@ from postbag.plans import (
     message_queries,
     page_queries,
     quota_queries,
+    resume_queries,
     stream_queries,
 )
 
@@ -20,6 +21,7 @@ _MODULES = (
     decision_queries,
     stream_queries,
     campaign_queries,
+    resume_queries,
 )
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}

@@ -4,6 +4,7 @@ Nothing is updated in place: each change is one more row, and ``latest_by_key``
 Ids are made from what a row is about, so that a batch written twice can be told by its ids.
 """
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,6 @@ from pyspark.sql import types as T
 from postbag import schema as S
 from postbag.functions.clock import day_of
 from postbag.functions.labels import as_text
-from postbag.operators.history import latest_by_key
 
 
 def now_utc() -> Column:
@@ -28,7 +28,8 @@ def ensure_tables(spark: SparkSession, root: str) -> dict[str, str]:
     for name, schema in S.TABLES.items():
         empty = spark.createDataFrame([], schema)
         if name == "messages_log":
-            empty.withColumn("day", F.current_date()).write.mode("ignore").partitionBy("day").parquet(paths[name])
+            keyed = empty.withColumns({"batch": F.lit(""), "day": F.current_date()})
+            keyed.write.mode("ignore").partitionBy("batch", "day").parquet(paths[name])
         else:
             empty.write.mode("ignore").parquet(paths[name])
     return paths
@@ -100,19 +101,24 @@ def message_id(*parts: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(p).cast("string"), F.lit("\x00")) for p in parts]), 256)
 
 
-def append_messages(messages: DataFrame, path: str) -> None:
-    """Append a batch of outcomes, one folder per UTC day."""
+def append_messages(messages: DataFrame, path: str, batch: str | None = None) -> None:
+    """Log a batch of outcomes, in a folder of its own with one folder per UTC day.
+
+    A batch that is logged again replaces its folder, also on a later day, so that it counts once. Batches
+    are known by ``batch``, the name of an attempt, or else by the ids of their messages.
+    """
     rows = messages.select([f.name for f in S.MESSAGES_LOG.fields]).withColumn("day", day_of(F.col("ts")))
-    rows.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+    if batch is None:
+        known = F.sum(F.xxhash64("message_id").cast("decimal(38,0)"))
+        batch = str(tuple(rows.agg(F.count("*"), known).first()))
+    folder = f"{path}/batch=b{hashlib.sha256(batch.encode()).hexdigest()[:32]}"
+    rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(folder)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """The message log with its folders' ``day``; a batch that was appended twice is read once.
-
-    Copies of a row share their day, so a filter on ``day`` still leaves other folders unread.
-    """
-    log = spark.read.schema(T.StructType([*S.MESSAGES_LOG.fields, T.StructField("day", T.DateType())])).parquet(path)
-    return latest_by_key(log, ["day", "message_id"], ["ts"])
+    """The message log with its folders' ``day``: a plain scan, for every batch is there once."""
+    days = T.StructType([*S.MESSAGES_LOG.fields, T.StructField("day", T.DateType())])
+    return spark.read.schema(days).parquet(path).drop("batch")
 
 
 def setting_row(
@@ -134,14 +140,31 @@ def put_setting(
     setting_row(spark, key, value, ts, seq).write.mode("append").parquet(path)
 
 
-def write_outbox(outbox: DataFrame, path: str, mode: str = "append", days: str = "send_day") -> None:
-    """Write messages to be sent, one folder per send day.
+OUTBOX_MONTH = "send_month"
 
-    Spark gathers each day's rows before writing, splits large days and merges small ones.
-    """
-    outbox.hint("rebalance", days).write.mode(mode).partitionBy(days).parquet(path)
 
+def write_outbox(outbox: DataFrame, path: str, mode: str = "append", days: str = "send_day") -> None:
+    """Write messages to be sent, in order of their days, one folder per month.
 
-def read_outbox(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+    Spark cuts the order into ranges of like size, so that a large day has several files and small ones
+    share one. A filter on the day finds its rows by what the files say of their row groups. Months are
+    those of ``send_after``, or 31 days each where there is no such column.
+    """
+    if "send_after" in outbox.columns:
+        month = F.date_format("send_after", "yyyy-MM")
+    else:
+        month = F.floor(F.col(days) / 31).cast("string")
+    rows = outbox.withColumn(OUTBOX_MONTH, month)
+    hashed = [c for c, kind in outbox.dtypes if "map<" not in kind and "variant" not in kind]
+    ordered = rows.repartitionByRange(OUTBOX_MONTH, days, F.xxhash64(*hashed)).sortWithinPartitions(OUTBOX_MONTH, days)
+    ordered.write.mode(mode).partitionBy(OUTBOX_MONTH).parquet(path)
+
+
+def read_outbox(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, month: str | None = None
+) -> DataFrame:
+    """The outbox, or one ``month`` of it by its folder alone."""
     outbox = spark.read.parquet(path)
-    return outbox if columns is None else outbox.select(*columns)
+    if month is not None:
+        outbox = outbox.where(F.col(OUTBOX_MONTH).cast("string") == month)
+    return outbox.drop(OUTBOX_MONTH) if columns is None else outbox.select(*columns)
