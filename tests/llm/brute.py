@@ -45,47 +45,66 @@ def near_duplicates(texts, width, percent=80):
     return {i: (len(sets[i]), roots[i]) for i in ids}
 
 
-def word_ratios(labelled, asked, orders=(7, 6, 5, 4, 3), discount=0.75):
-    """``{word: ratio}`` of the two models of ``(text, toxic)``, from dictionaries of byte strings."""
+def word_ratios(labelled, asked, cuts=(2, 4, 6, 9), discount=0.75, unseen=1e-3):
+    """``{word: ratio}`` of the two models of ``(text, toxic)`` over beginnings of words, from plain dictionaries."""
 
-    def padded(word):
-        return b"^" * (orders[0] - 1) + word + b"$"
+    def begins(word):
+        whole = word + b" "
+        return [whole[:c] for c in cuts if c < len(whole)] + [whole]
 
-    def grams(word, n):
-        return [word[i - n : i] for i in range(orders[0], len(word) + 1)]
-
-    counts = {c: {orders[0]: Counter()} for c in (True, False)}
+    counts, kinds = {True: Counter(), False: Counter()}, Counter()
     for text, toxic in labelled:
         for word in set(text.lower().encode().split()):
-            counts[toxic][orders[0]].update(grams(padded(word), orders[0]))
-    for own in counts.values():
-        for n in range(orders[0] - 1, 0, -1):
-            own[n] = Counter(g[1:] for g in own[n + 1])
-    both = {n: counts[True][n] + counts[False][n] for n in (1, 2)}
-
-    def by_context(table):
-        sums, kinds = defaultdict(int), Counter()
-        for g, v in table.items():
-            sums[g[:-1]] += v
-            kinds[g[:-1]] += 1
-        return sums, kinds
-
-    contexts = {(c, n): by_context(counts[c][n]) for c in counts for n in orders}
-    sums2, kinds2 = by_context(both[2])
-    total = sum(both[1].values())
-
-    def p(gram, c):
-        byte = (both[1][gram[-1:]] + 0.5) / (total + 128)
-        before, pair = gram[-2:-1], gram[-2:]
-        out = byte
-        if sums2[before]:
-            out = max(both[2][pair] - discount, 0) / sums2[before] + discount * kinds2[before] / sums2[before] * byte
-        for n in reversed(orders):
-            sums, kinds = contexts[c, n]
-            s = gram[-n:]
-            if sums[s[:-1]]:
-                k = sums[s[:-1]]
-                out = max(counts[c][n][s] - discount, 0) / k + min(discount * kinds[s[:-1]] / k, 1) * out
-        return max(out, 1e-12)
-
-    return {w: sum(math.log(p(g, True) / p(g, False)) for g in grams(padded(w.lower().encode()), orders[0])) for w in asked}
+            counts[toxic].update(begins(word))
+    for word in {w for text, _ in labelled for w in text.lower().encode().split()}:
+        kinds.update(begins(word))
+    below = defaultdict(set)
+    for b in kinds:
+        shorter = [c for c in cuts if c < len(b)]
+        if shorter:
+            below[b[: shorter[-1]]].add(b)
+
+    def share(table, parent, b, rest):
+        n = [table[x] for x in below[parent]]
+        if not sum(n):
+            return rest
+        return max(table[b] - discount, 0) / sum(n) + discount * sum(x > 0 for x in n) / sum(n) * rest
+
+    def ratio(word):
+        out, path = 0.0, begins(word.lower().encode())
+        for parent, b in zip(path, path[1:]):
+            if parent not in kinds:
+                break
+            shared = share(kinds, parent, b, unseen)
+            out += math.log(share(counts[True], parent, b, shared) / share(counts[False], parent, b, shared))
+            if b not in kinds:
+                break
+        return out
+
+    return {w: ratio(w) for w in asked}
+
+
+def step_ratios(labelled, contexts, discount=0.75, unseen=1e-3):
+    """``{(context, first two bytes): ratio}`` over the ends of words; ``contexts`` are numbered from 1."""
+    counts = {True: Counter(), False: Counter()}
+    for text, toxic in labelled:
+        words = text.lower().encode().split()
+        before = [0, *[contexts.get(w, 0) for w in words[:-1]]]
+        counts[toxic].update({(b, (w + b" ")[:2]) for b, w in zip(before, words)})
+    both = set(counts[True]) | set(counts[False])
+    firsts = {b for _, b in both}
+
+    def fill(n, rest):
+        total = sum(n.values())
+        return {b: (max(n.get(b, 0) - discount, 0) + discount * len(n) * rest[b]) / total if total else rest[b] for b in firsts}
+
+    shared = fill(Counter(b for _, b in both), dict.fromkeys(firsts, unseen))
+    p = {}
+    for c, table in counts.items():
+        sums = Counter()
+        for (_, b), n in table.items():
+            sums[b] += n
+        whole = fill(sums, shared)
+        for k in [0, *contexts.values()]:
+            p[c, k] = fill({b: n for (x, b), n in table.items() if x == k}, whole)
+    return {(k, b): math.log(p[True, k][b] / p[False, k][b]) for k in [0, *contexts.values()] for b in firsts}

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from brute import near_duplicates as brute_near
-from brute import word_ratios
+from brute import step_ratios, word_ratios
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -27,6 +27,7 @@ from postbag.llm import (
     warc,
 )
 from postbag.llm.components import components
+from postbag.workspace import Stages
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -242,22 +243,65 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_counts_are_exact(spark):
-    """Ratios of words equal those of a model in plain dictionaries, in which no two sequences meet."""
+    """Ratios of words and of steps over their ends equal those of a model in plain dictionaries."""
     r = random.Random(8)
-    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(50_000)]
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzé", k=r.randrange(1, 13))) for _ in range(50_000)]
+    words[::9] = r.choices(["the", "of", "a"], k=len(words[::9]))
     docs = [(i, " ".join(words[50 * i : 50 * i + 50])) for i in range(1000)]
     marks = {i: i % 5 == 0 for i, _ in docs}
     table = spark.createDataFrame(docs, "doc_id long, text string")
     model = toxicity.train(table, spark.createDataFrame([(i, int(t)) for i, t in marks.items()], "doc_id long, toxic int"))
     known = [(text, marks[i]) for i, text in docs if zlib.crc32(str(i).encode()) % 3 != 1]
-    asked = r.sample(words, 300) + ["disgusting", "worthless", "x", "äö", "q" * 40]
+    asked = [*{*r.sample(words, 300), *[w[:5] + "zzz" for w in r.sample(words, 50)]}, "disgusting", "worthless", "x", "äö", "q" * 40]
     want = word_ratios(known, asked)
-    assert model.counts[7].where("t2 + o2 > 0").count() > 200_000
-    got = {}
-    for row in model.judged(spark.createDataFrame([(w, w) for w in asked], "text string, tag string"), 2, scores=False).collect():
-        got[row.tag] = row.out[0] / 10
-    assert got.keys() == want.keys()
-    assert max(abs(got[w] - want[w]) for w in want) < 1e-5
+    assert model.ratios.where("r2 IS NOT NULL").count() > 50_000
+    frame = spark.createDataFrame([(bytearray(w.encode()),) for w in asked], "word binary")
+    got = {bytes(x.word).decode(): x.ratio / toxicity.UNIT for x in model.word_ratios(frame, 2).collect()}
+    assert max(abs(got.get(w, 0.0) - want[w]) for w in want) < 1e-5
+    assert len(model.contexts) == 255 and {b"the", b"of", b"a"} <= set(model.contexts)
+    steps = step_ratios(known, model.contexts)
+    of = {k: int.from_bytes(k, "big") for _, k in steps}
+    assert all(abs(model.steps[2][c, model.begins[of[b]]] / toxicity.UNIT - v) < 1e-5 for (c, b), v in steps.items())
+    # a text's features are sums of these
+    text = docs[0][1]
+    stages = Stages(spark)
+    row = model.judged(spark.createDataFrame([(text, 1)], "text string, tag int"), 2, stages, scores=False).first()
+    parts = text.split()
+    before = [0, *[model.contexts.get(w.encode(), 0) for w in parts[:-1]]]
+    over = sum(steps[c, (w.encode() + b" ")[:2]] for c, w in zip(before, parts))
+    whole = sum(word_ratios(known, parts)[w] for w in parts)
+    assert abs(row.out[0] - (whole + over) / 50) < 1e-4 and abs(row.out[2] - over / 50) < 1e-4
+    stages.drop()
+
+
+def test_toxicity_hears_words_together(spark):
+    """Words that are harmless alone, but not after a certain one."""
+    r = random.Random(6)
+    calm = ["you", "are", "bright", "dull", "very", "not", "house"]
+    docs = []
+    for i in range(1200):
+        toxic = i % 3 == 0
+        words = [r.choice(calm[2:]) for _ in range(30)]
+        for k in (5, 12, 20):
+            words[k : k + 2] = ["you", "dull"] if toxic else ["are", "dull"]
+        docs.append((i, " ".join(words), int(toxic)))
+    table = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    model = toxicity.train(table, table)
+    got = {x.doc_id: x.score >= 0.7 for x in toxicity.score(table, model).collect()}
+    held = [(i, t) for i, _, t in docs if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([got[i] == bool(t) for i, t in held]) > 0.95
+
+
+def test_toxicity_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(5, 1), (5, 0), (9, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    for marks in (labels, labels.where("false")):
+        model = toxicity.train(odd, marks)
+        rows = toxicity.score(odd, model).collect()
+        assert len(rows) == len(ODD) and all(0 <= x.score <= 1 for x in rows)
+        assert len({x.score for x in rows if x.doc_id in (1, 2, 3)}) == 1
+        assert toxicity.score(odd.where("false"), model).count() == 0
+        kept = toxicity.drop_toxic(odd, model)
+        assert kept.columns == odd.columns and kept.count() <= len(ODD)
 
 
 def test_pipeline(spark, sf):
