@@ -45,19 +45,24 @@ def near_duplicates(texts, width, percent=80):
     return {i: (len(sets[i]), roots[i]) for i in ids}
 
 
-def word_ratios(labelled, asked, cuts=(2, 4, 6, 9), discount=0.75, unseen=1e-3):
-    """``{word: ratio}`` of the two models of ``(text, toxic)`` over beginnings of words, from plain dictionaries."""
+def pieces(word, n=8):
+    whole = word + b" "
+    return [whole[:n], *[b" " + whole[k : k + n] for k in range(n, len(whole), n)]]
 
-    def begins(word):
-        whole = word + b" "
-        return [whole[:c] for c in cuts if c < len(whole)] + [whole]
 
-    counts, kinds = {True: Counter(), False: Counter()}, Counter()
+def word_ratios(labelled, asked, cuts=(2, 4, 6), discount=0.75, unseen=1e-3):
+    """``{word: ratio}`` of the two models of ``(text, toxic)`` over beginnings of pieces, from plain dictionaries."""
+
+    def begins(piece):
+        return [piece[:c] for c in cuts if c < len(piece)] + [piece]
+
+    counts, kinds, seen = {True: Counter(), False: Counter()}, Counter(), set()
     for text, toxic in labelled:
-        for word in set(text.lower().encode().split()):
-            counts[toxic].update(begins(word))
-    for word in {w for text, _ in labelled for w in text.lower().encode().split()}:
-        kinds.update(begins(word))
+        for piece in {p for word in text.lower().encode().split() for p in pieces(word)}:
+            counts[toxic].update(begins(piece))
+            seen.add(piece)
+    for piece in seen:
+        kinds.update(begins(piece))
     below = defaultdict(set)
     for b in kinds:
         shorter = [c for c in cuts if c < len(b)]
@@ -70,8 +75,8 @@ def word_ratios(labelled, asked, cuts=(2, 4, 6, 9), discount=0.75, unseen=1e-3):
             return rest
         return max(table[b] - discount, 0) / sum(n) + discount * sum(x > 0 for x in n) / sum(n) * rest
 
-    def ratio(word):
-        out, path = 0.0, begins(word.lower().encode())
+    def ratio(piece):
+        out, path = 0.0, begins(piece)
         for parent, b in zip(path, path[1:]):
             if parent not in kinds:
                 break
@@ -81,16 +86,16 @@ def word_ratios(labelled, asked, cuts=(2, 4, 6, 9), discount=0.75, unseen=1e-3):
                 break
         return out
 
-    return {w: ratio(w) for w in asked}
+    return {w: sum(map(ratio, pieces(w.lower().encode()))) for w in asked}
 
 
 def step_ratios(labelled, contexts, discount=0.75, unseen=1e-3):
-    """``{(context, first two bytes): ratio}`` over the ends of words; ``contexts`` are numbered from 1."""
+    """``{(context, first two bytes): ratio}`` from piece to piece; ``contexts`` are numbered from 1."""
     counts = {True: Counter(), False: Counter()}
     for text, toxic in labelled:
-        words = text.lower().encode().split()
-        before = [0, *[contexts.get(w, 0) for w in words[:-1]]]
-        counts[toxic].update({(b, (w + b" ")[:2]) for b, w in zip(before, words)})
+        found = [p for word in text.lower().encode().split() for p in pieces(word)]
+        before = [0, *[contexts.get(p, 0) for p in found[:-1]]]
+        counts[toxic].update({(b, p[:2]) for b, p in zip(before, found)})
     both = set(counts[True]) | set(counts[False])
     firsts = {b for _, b in both}
 

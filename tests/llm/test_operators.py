@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 from brute import near_duplicates as brute_near
-from brute import step_ratios, word_ratios
+from brute import pieces, step_ratios, word_ratios
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -243,7 +243,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_counts_are_exact(spark):
-    """Ratios of words and of steps over their ends equal those of a model in plain dictionaries."""
+    """Ratios of words and of steps from piece to piece equal those of a model in plain dictionaries."""
     r = random.Random(8)
     words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzé", k=r.randrange(1, 13))) for _ in range(50_000)]
     words[::9] = r.choices(["the", "of", "a"], k=len(words[::9]))
@@ -254,21 +254,23 @@ def test_toxicity_counts_are_exact(spark):
     known = [(text, marks[i]) for i, text in docs if zlib.crc32(str(i).encode()) % 3 != 1]
     asked = [*{*r.sample(words, 300), *[w[:5] + "zzz" for w in r.sample(words, 50)]}, "disgusting", "worthless", "x", "äö", "q" * 40]
     want = word_ratios(known, asked)
-    assert model.ratios.where("r2 IS NOT NULL").count() > 50_000
-    frame = spark.createDataFrame([(bytearray(w.encode()),) for w in asked], "word binary")
-    got = {bytes(x.word).decode(): x.ratio / toxicity.UNIT for x in model.word_ratios(frame, 2).collect()}
-    assert max(abs(got.get(w, 0.0) - want[w]) for w in want) < 1e-5
-    assert len(model.contexts) == 255 and {b"the", b"of", b"a"} <= set(model.contexts)
+    assert model.ratios.where("r2 IS NOT NULL").count() > 40_000
+    cut = {w: pieces(w.encode()) for w in asked}
+    frame = spark.createDataFrame([(bytearray(p),) for p in {p for ps in cut.values() for p in ps}], "piece binary")
+    got = {bytes(x.piece): x.ratio / toxicity.UNIT for x in model.piece_ratios(frame, 2).collect()}
+    assert max(abs(sum(got.get(p, 0.0) for p in cut[w]) - want[w]) for w in want) < 1e-5
+    assert len(model.contexts) == 255 and {b"the ", b"of ", b"a "} <= set(model.contexts)
     steps = step_ratios(known, model.contexts)
     of = {k: int.from_bytes(k, "big") for _, k in steps}
-    assert all(abs(model.steps[2][c, model.begins[of[b]]] / toxicity.UNIT - v) < 1e-5 for (c, b), v in steps.items())
+    assert all(abs(model.steps[2][c, model.firsts[of[b]]] / toxicity.UNIT - v) < 1e-5 for (c, b), v in steps.items())
     # a text's features are sums of these
     text = docs[0][1]
     stages = Stages(spark)
     row = model.judged(spark.createDataFrame([(text, 1)], "text string, tag int"), 2, stages, scores=False).first()
     parts = text.split()
-    before = [0, *[model.contexts.get(w.encode(), 0) for w in parts[:-1]]]
-    over = sum(steps[c, (w.encode() + b" ")[:2]] for c, w in zip(before, parts))
+    row_of = [p for w in parts for p in pieces(w.encode())]
+    before = [0, *[model.contexts.get(p, 0) for p in row_of[:-1]]]
+    over = sum(steps[c, p[:2]] for c, p in zip(before, row_of))
     whole = sum(word_ratios(known, parts)[w] for w in parts)
     assert abs(row.out[0] - (whole + over) / 50) < 1e-4 and abs(row.out[2] - over / 50) < 1e-4
     stages.drop()
