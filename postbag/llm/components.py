@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postbag.llm.common import keep
+from postbag.workspace import Stages
 
 
 def _toward_minimum(both: DataFrame, only: str) -> DataFrame:
@@ -20,13 +20,15 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+def components(edges: DataFrame, label: str = "components", stages: Stages | None = None) -> DataFrame:
     """``node``, ``component``: the smallest node that links ``(a, b)`` reach from each linked node.
 
     Nodes without links don't appear. NULL ends and links of a node to itself are ignored; repeated
-    links and both directions count once. Only counts come to the driver.
+    links and both directions count once. Only counts come to the driver. Tables of a round are taken away
+    after the next; the last one, which the result reads, stays in ``stages``.
     """
-    now = keep(
+    stages = stages or Stages(edges.sparkSession)
+    now = stages.keep(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         label,
     )
@@ -34,10 +36,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     while mark[0]:
         both = now.selectExpr("a u", "b v").unionAll(now.selectExpr("b u", "a v"))
         large = _toward_minimum(both, "v > u").selectExpr("v u", "m v").where("u <> v").distinct()
-        large = keep(large, label)
+        large = stages.keep(large, label)
         small = _toward_minimum(large, "true")
         small = small.selectExpr("v a", "m b").unionAll(small.selectExpr("u a", "m b"))
-        now = keep(small.where("a <> b").distinct(), label)
+        before, now = now, stages.keep(small.where("a <> b").distinct(), label)
+        stages.drop(before, large)
         after = _mark(now)
         if after == mark:
             break

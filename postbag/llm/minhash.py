@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from postbag.llm.common import Bounded, keep, mix, per_worker, plain, seeds
 from postbag.llm.components import components
+from postbag.workspace import Stages
 
 FOLD = np.uint64(0x100000001B3)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -144,13 +145,19 @@ def _few_apart(percent: int) -> Column:
     return F.expr(f"{100 + percent} * {differ} <= {100 - percent} * (l.n_shingles + r.n_shingles)")
 
 
-def _whole_sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``node``, ``members``: the whole shingle set of each node in ``pairs``."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _whole_sets(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, stages: Stages) -> DataFrame:
+    """``node``, ``members``: the whole shingle set of each node in ``pairs``.
+
+    The nodes are written first, so that Spark knows how few they are before it moves any text.
+    """
+    involved = stages.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-involved")
     rows = texts.join(involved, "doc_id", "left_semi")
     sets = rows.mapInArrow(_sets(width), "node long, members array<long>")
     # where rows repeat an identifier, the set of the node is the one that was sketched
-    return keep(sets.join(nodes.selectExpr("node", "n_shingles n"), "node").where("size(members) = n").drop("n"), "minhash-sets")
+    sets = sets.join(nodes.selectExpr("node", "n_shingles n"), "node").where("size(members) = n").drop("n")
+    sets = stages.keep(sets, "minhash-sets")
+    stages.drop(involved)
+    return sets
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,7 +194,8 @@ def near_duplicates(
     An empty table gives no rows; other columns are not looked at.
     """
     texts = plain(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketches = keep(
+    stages = Stages(docs.sparkSession)
+    sketches = stages.keep(
         texts.mapInArrow(
             _sketched(width, bands, rows),
             "doc_id long, n_shingles long, set_key binary, bands array<long>, parts array<short>, odd array<long>",
@@ -195,30 +203,31 @@ def near_duplicates(
         "minhash-sketches",
     )
     filled = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    named = keep(
+    classes = stages.keep(filled.groupBy("set_key").agg(F.min("doc_id").alias("node")), "minhash-classes")
+    named = stages.keep(
         filled.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "node").distinct(), "minhash-named"
     )
     nodes = filled.join(classes.select("set_key", F.col("node").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
     nodes = nodes.withColumnRenamed("doc_id", "node")
     postings = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = keep(postings.join(shared, "key"), "minhash-crowded")
+    crowded = stages.keep(postings.join(shared, "key"), "minhash-crowded")
     # the member that meets most others over all its bands is the likeliest centre of a group
     central = crowded.groupBy("node").agg(F.sum("n").alias("meets"))
-    buckets = keep(crowded.join(central, "node").select("key", "band", "node", "meets"), "minhash-buckets")
+    buckets = stages.keep(crowded.join(central, "node").select("key", "band", "node", "meets"), "minhash-buckets")
+    stages.drop(crowded)
     centre = F.max(F.struct("meets", F.xxhash64("node", "key").alias("h"), "node")).getField("node")
     pivots = buckets.groupBy("key").agg(centre.alias("pivot"))
     pairs = buckets.join(pivots, "key").where("node <> pivot")
-    stars = keep(
+    stars = stages.keep(
         pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "minhash-stars"
     )
     own = named.where("doc_id <> node").selectExpr("doc_id a", "node b")
-    sets = _whole_sets(stars, nodes, texts, width)
+    sets = _whole_sets(stars, nodes, texts, width, stages)
     linked = f"100 * common >= {percent} * all"
-    measured = keep(_measured(stars, sets), "minhash-measured")
+    measured = stages.keep(_measured(stars, sets), "minhash-measured")
     links = measured.where(linked).select("a", "b")
-    first = components(links, "minhash-first")
+    first = components(links, "minhash-first", stages)
 
     # distances (1 less the similarity) obey the triangle inequality: members that are not equally far
     # from their pivot can't be near each other
@@ -229,7 +238,8 @@ def near_duplicates(
     placed = around.join(first, "node", "left").select("key", "band", "near", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     traits = nodes.select("node", "n_shingles", "bands", "parts", "odd")
-    apart = keep(placed.join(mixed.select("key"), "key").join(traits, "node"), "minhash-apart")
+    apart = stages.keep(placed.join(mixed.select("key"), "key").join(traits, "node"), "minhash-apart")
+    stages.drop(buckets)
     rest = apart.alias("l").join(
         apart.alias("r"),
         (F.col("l.key") == F.col("r.key"))
@@ -241,11 +251,12 @@ def near_duplicates(
         & _few_apart(percent)
         & _alike(percent, bands * rows),
     )
-    rest = keep(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "minhash-rest")
+    rest = stages.keep(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "minhash-rest")
+    stages.drop(apart)
     more = _measured(rest.join(stars, ["a", "b"], "left_anti"), sets).where(linked).select("a", "b")
     edges = first.selectExpr("node a", "component b").unionAll(more).unionAll(own)
-    final = components(edges, "minhash-final")
-    return (
+    final = components(edges, "minhash-final", stages)
+    out = (
         sketches.select("doc_id", "n_shingles")
         .join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select(
@@ -255,6 +266,9 @@ def near_duplicates(
             (F.coalesce("component", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
         )
     )
+    out = keep(out, "minhash")
+    stages.drop()
+    return out
 
 
 def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
