@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = min(1.0, 0.9 * sample / max(marks.count(), 1))
     of = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     marks = marks.where(of < F.lit(int(share * (1 << 40)))).orderBy(of, "doc_id").limit(sample)
-    texts = plain(docs, doc_id=id_col, text=text_col).join(marks, "doc_id")
+    texts = plain(docs, doc_id=id_col, text=text_col).join(F.broadcast(marks), "doc_id")
     rows = texts.select((F.col("quality") == 1).cast("int").alias("good"), "text").mapInArrow(_measured, "good int, x array<double>")
     found = rows.orderBy(F.xxhash64("x", "good"), "x", "good").limit(sample).toArrow()
     x = np.array(found["x"].to_pylist(), np.float64).reshape(-1, len(MEASURES))
