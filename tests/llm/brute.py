@@ -45,12 +45,12 @@ def near_duplicates(texts, width, percent=80):
     return {i: (len(sets[i]), roots[i]) for i in ids}
 
 
-def pieces(word, n=8):
+def pieces(word, n=6):
     whole = word + b" "
     return [whole[:n], *[b" " + whole[k : k + n] for k in range(n, len(whole), n)]]
 
 
-def word_ratios(labelled, asked, cuts=(2, 4, 6), discount=0.75, unseen=1e-3):
+def word_ratios(labelled, asked, cuts=(2, 4), discount=0.75, unseen=1e-3):
     """``{word: ratio}`` of the two models of ``(text, toxic)`` over beginnings of pieces, from plain dictionaries."""
 
     def begins(piece):
