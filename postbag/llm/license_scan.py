@@ -1,8 +1,9 @@
 """Licence notices found by conditional compression and confirmed word by word.
 
-Around each two neighbouring words of a template the text has a window about as long as the template,
-over line ends and blank lines. What the window has of the template's wording must compress much smaller
-when the template is a raw dictionary; the differences in wording are part of the result.
+Around neighbouring words of a template the text has a candidate block about as long as the template, over
+line ends and blank lines. Each block is compressed with every template that has two neighbouring words in
+it as a raw dictionary; templates are ranked by the bytes they save, and the best one above the threshold
+that has the block's wording wins. The differences in wording are part of the result.
 """
 
 import re
@@ -67,10 +68,15 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+# Words of licences' names, which like versions must be equal, and words that deny what follows.
+NAMES = frozenset("affero apache boost by cc cc0 eclipse general gnu isc lesser library mit mozilla mpl nc nd public sa".split())
+NEGATIONS = frozenset("aren cannot isn longer neither never nor not wasn weren".split())
+
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
@@ -78,11 +84,25 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def in_order(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest row of hits whose places rise both in the text and in the template."""
+    ends, last, before = [], [], {}
+    for i, k in sorted(hits, key=lambda h: (h[0], -h[1])):
+        j = bisect_left(ends, k)
+        ends[j : j + 1], last[j : j + 1] = [k], [(i, k)]
+        before[i, k] = last[j - 1] if j else None
+    row, at = [], last[-1] if last else None
+    while at:
+        row.append(at)
+        at = before[at]
+    return row[::-1]
+
+
 class Scanner:
     """Finds the notices of ``templates`` in texts."""
 
-    def __init__(self, templates: dict[str, str], least_reduction: float, least_cover: float):
-        self.least_reduction, self.least_cover = least_reduction, least_cover
+    def __init__(self, templates: dict[str, str], least_reduction: float, least_cover: float, names=NAMES):
+        self.least_reduction, self.least_cover, self.names = least_reduction, least_cover, names
         self.wanted = {name: words_of(t) for name, t in templates.items()}
         # a raw dictionary is content that may be copied from, without tables or an id
         self.with_template = {
@@ -91,7 +111,6 @@ class Scanner:
         }
         self.without = self._compressor(None)
         self.empty = len(self.without.compress(b""))
-        self.counts = {name: Counter(words) for name, words in self.wanted.items()}
         self.slack, self.least_pairs = {}, {}
         pairs = defaultdict(list)
         for name, words in self.wanted.items():
@@ -125,81 +144,120 @@ class Scanner:
                     found[name].append((i, k))
         return found
 
-    def reduction(self, name: str, words: list[str]) -> float:
-        """What share of the compressed size of ``words`` the template saves."""
-        data = " ".join(words).encode("utf-8", "replace")
+    def ranked(self, text: str, names: list[str]) -> list[tuple[int, float, str]]:
+        """The templates by the bytes that each saves as dictionary of ``text``: bytes, share of the size, name."""
+        data = text.encode("utf-8", "replace")
         alone = max(1, len(self.without.compress(data)) - self.empty)
-        return 1 - max(0, len(self.with_template[name].compress(data)) - self.empty) / alone
+        saved = [(alone - max(0, len(self.with_template[x].compress(data)) - self.empty), x) for x in names]
+        return [(n, n / alone, x) for n, x in sorted(saved, key=lambda s: (-s[0], s[1]))]
 
-    def confirm(self, name: str, words: list[str], first: int, end: int) -> dict | None:
-        """The notice among the words from ``first`` to ``end``, if they have its wording."""
+    def worded(self, name: str, words: list[str], first: int, end: int) -> dict | None:
+        """The notice that the words from ``first`` to ``end`` are, if they have the template's wording.
+
+        Names of licences and versions must all be there and no others, and nothing may say "not".
+        """
         template, own = self.wanted[name], words[first:end]
         n = len(template)
-        if sum((self.counts[name] & Counter(own)).values()) < self.least_cover * n:
-            return None
         steps = SequenceMatcher(None, template, own, autojunk=False).get_opcodes()
         equal = [s for s in steps if s[0] == "equal"]
         cover = sum(b - a for _, a, b, _, _ in equal) / n
         if cover < self.least_cover:
             return None
-        span = (first + equal[0][3], first + equal[-1][4])
-        reduction = self.reduction(name, words[slice(*span)])
-        if reduction < self.least_reduction:
-            return None
+        begin, stop = first + equal[0][3], first + equal[-1][4]
         inner = [s for s in steps if s[0] != "equal" and not (s[0] == "insert" and s[1] in (0, n))]
-        # beyond the first and last equal words only the template's words count: what else stands there is not the notice
-        changes = [
-            f"-{' '.join(template[a:b])} +{' '.join(own[c:d]) if 0 < a and b < n else ''}" for _, a, b, c, d in inner
-        ]
-        return {
-            "span": span, "license": name, "reduction": round(reduction, 4), "cover": round(cover, 4), "differences": changes
-        }
+        lost = [w for _, a, b, _, _ in inner for w in template[a:b]]
+        # beyond the first and last equal words stands what replaces the template's, not what was put in
+        put_in = [w for _, a, b, c, d in inner if 0 < a and b < n for w in own[c:d]]
+        if any(map(self.telling, lost)) or any(self.telling(w) or w in NEGATIONS for w in put_in):
+            return None
+        if NEGATIONS.intersection(words[max(0, begin - 2) : begin]):
+            return None
+        changes = [f"-{' '.join(template[a:b])} +{' '.join(own[c:d])}" for _, a, b, c, d in inner]
+        return {"span": (begin, stop), "license": name, "cover": round(cover, 4), "differences": changes}
 
-    def notices(self, name: str, words: list[str], hits: list[tuple[int, int]]) -> Iterator[dict]:
-        """All notices of a template: first the exact ones, then others between them."""
+    def telling(self, word: str) -> bool:
+        return word in self.names or any(c.isdigit() for c in word)
+
+    def blocks(self, name: str, words: list[str], hits: list[tuple[int, int]], wins) -> None:
+        """Offers ``wins`` the candidate blocks of a template: first the exact ones, then others between them.
+
+        A block goes from where the template would begin by the first pair of its words to where it would
+        end by the last one; ``wins`` says where the notice ends that was found there, if any.
+        """
         template, slack = self.wanted[name], self.slack[name]
         n, taken = len(template), []
         for start in sorted({i - k for i, k in hits}):
             if start >= 0 and words[start : start + n] == template and not (taken and start < taken[-1][1]):
-                if found := self.confirm(name, words, start, start + n):
-                    taken.append(found["span"])
-                    yield found
+                if wins(start, start + n):
+                    taken.append((start, start + n))
         begins, at, done, failed = [b for b, _ in taken], [i for i, _ in hits], 0, set()
         for i, k in hits:
             j = bisect_left(begins, i + 1)
             if i < done or j and i < taken[j - 1][1] or i - k in failed:
                 continue
-            first = max(0, done, i - k - slack, taken[j - 1][1] if j else 0)
-            end = min(len(words), i - k + n + slack, begins[j] if j < len(begins) else len(words))
-            pairs = {q for _, q in hits[bisect_left(at, first) : bisect_left(at, end)]}
-            found = self.confirm(name, words, first, end) if len(pairs) >= self.least_pairs[name] else None
-            if found:
-                done = found["span"][1]
-                yield found
+            floor = max(done, taken[j - 1][1] if j else 0)
+            ceiling = begins[j] if j < len(begins) else len(words)
+            center, end = i - k, None
+            for _ in range(2):  # around this pair, then around where most of those in order with it are
+                low, high = max(floor, center - slack), min(ceiling, center + n + slack)
+                near = hits[bisect_left(at, low) : bisect_left(at, high)]
+                aligned = in_order(near) if len({q for _, q in near}) >= self.least_pairs[name] else []
+                if len(aligned) < self.least_pairs[name]:
+                    break
+                center = Counter(x - q for x, q in aligned).most_common(1)[0][0]
+            else:
+                (x, q), (y, r) = aligned[0], aligned[-1]
+                end = wins(max(floor, x - q), min(ceiling, y - r + n))
+            if end:
+                done = max(done, end)
             else:
                 failed.add(i - k)
 
     def scan(self, text: str) -> list[dict]:
-        """The notices of all templates, but none inside the words of a better one."""
+        """The notices of all templates, but none inside the words of one that saves more."""
         lower = text.lower()
         words = WORD.findall(lower)
-        found = []
-        for name, hits in self.anchored(words).items():
-            if len(hits) >= self.least_pairs[name]:
-                found += self.notices(name, words, hits)
-        if not found:
+        anchored = self.anchored(words)
+        if not any(len(hits) >= self.least_pairs[name] for name, hits in anchored.items()):
             return []
-        # exact wording settles what compression ranks alike; of exact ones the longer says more
-        found.sort(
-            key=lambda x: (len(x["differences"]) > 0, -x["cover"], x["span"][0] - x["span"][1], -x["reduction"], x["license"], x["span"])
+        starts = {name: [i for i, _ in hits] for name, hits in anchored.items()}
+        tried: dict[tuple[int, int], dict | None] = {}
+
+        def wins(first: int, end: int) -> int | None:
+            """Ranks all templates with words in the block; the best one that has the wording wins."""
+            if (first, end) not in tried:
+                here = [x for x, at in starts.items() if bisect_left(at, first) < bisect_left(at, end - 1)]
+                tried[first, end] = None
+                for saved, share, name in self.ranked(" ".join(words[first:end]), here):
+                    if share < self.least_reduction:
+                        break
+                    if found := self.worded(name, words, first, end):
+                        tried[first, end] = {"saved": saved, "reduction": round(share, 4), **found}
+                        break
+            found = tried[first, end]
+            return found and found["span"][1]
+
+        for name, hits in anchored.items():
+            if len(hits) >= self.least_pairs[name]:
+                self.blocks(name, words, hits, wins)
+        # exact wording settles what compression ranks alike
+        found = sorted(
+            (x for x in tried.values() if x),
+            key=lambda x: (-x["saved"], len(x["differences"]) > 0, -x["cover"], x["license"], x["span"]),
         )
         kept: list[dict] = []
         for x in found:
-            if not any(y["span"][0] <= x["span"][0] and x["span"][1] <= y["span"][1] for y in kept):
+            first, end = x["span"]
+            inside = (y["span"][0] <= first and end <= y["span"][1] for y in kept)
+            same = (y["license"] == x["license"] and y["span"][0] < end and first < y["span"][1] for y in kept)
+            if not any(inside) and not any(same):
                 kept.append(x)
+        if not kept:
+            return []
         at = [m.span() for m in WORD.finditer(lower)]
         out = []
         for x in sorted(kept, key=lambda x: (x["span"], x["license"])):
+            del x["saved"]
             first, end = x.pop("span")
             line = lower.count("\n", 0, at[first][0])
             out.append({"line": line, "lines": lower.count("\n", at[first][0], at[end - 1][1]) + 1, **x})
@@ -242,8 +300,10 @@ def scan_licenses(
     All of every text is looked at; without shuffle. A notice may begin and end inside a line and go over
     line ends and blank lines; up to half as many words as it has, and three, may be put in between. A
     text has a row for each of its notices, but none for one inside the words of a better one.
-    ``reduction`` is what share of the compressed size of the notice's words the template saves, ``cover`` the share of the template's words found in order, and
-    ``differences`` lists wording that was taken away or added inside the notice (empty: exact).
+    ``reduction`` is what share of the compressed size of the block's words the template saves, at least
+    ``least_reduction``; ``cover`` the share of the template's words found in order, at least ``least_cover``;
+    ``differences`` lists wording that was taken away, with what stands in its place, or added inside the
+    notice (empty: exact). Licence names and versions must be equal; a denied notice is none.
 
     NULL and empty texts, and those without notice, give no rows; identifiers may be NULL or repeated.
     Texts may be of any length. Other columns are not looked at.

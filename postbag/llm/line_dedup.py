@@ -62,9 +62,10 @@ def remove_boilerplate(
         text.alias("text"),
         F.coalesce(docs[f"`{site_col}`"].cast("string"), F.lit("")).alias("site"),
     )
-    at = rows.select(
-        "id", F.md5(F.col("text").cast("binary")).alias("body"), "site", F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    ).where(F.trim("line") != "")
+    # digests come before lines: beside them each would be taken once a line
+    bodies = rows.select("id", F.md5(F.col("text").cast("binary")).alias("body"), "site", "text")
+    at = bodies.select("id", "body", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    at = at.where(F.trim("line") != "")
     at = at.withColumn("key", _key(F.col("line")))
     found = keep(boilerplate(at.select("key", "site"), min_sites, lg_k), "boilerplate")
     if long_documents is not None:
@@ -86,27 +87,31 @@ def remove_boilerplate(
         .groupBy("id", "body")
         .agg(F.collect_set("pos").alias("gone"), F.sum("chars").alias("chars"))
     )
-    lines = F.split(F.col("r.text"), "\n")
-    total = F.length("r.text") - F.size(lines) + 1
     joined = rows.withColumn("body", F.md5(F.col("text").cast("binary"))).alias("r").join(
         gone.alias("g"), F.expr("r.id <=> g.id AND r.body = g.body"), "left"
     )
-    own = F.filter(lines, lambda _, i: ~F.array_contains("g.gone", i))
-    page = F.exists(own, lambda x: F.trim(x) != "") if own_lines else 2 * F.col("g.chars") <= total
-    cut = F.col("g.chars").isNotNull() & page
-    left = F.array_join(own, "\n")
+    # each step on columns of the one before, so that no text is split once a line
+    joined = joined.select("r.doc", "r.text", "g.gone", "g.chars", F.split("r.text", "\n").alias("lines"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    joined = joined.withColumn("places", F.when(F.col("gone").isNotNull(), places))
+    joined = joined.withColumn("own", F.transform("places", lambda i: F.get("lines", i)))
+    total = F.length("text") - F.size("lines") + 1
+    page = F.exists("own", lambda x: F.trim(x) != "") if own_lines else 2 * F.col("chars") <= total
+    cut = F.col("chars").isNotNull() & page
+    left = F.array_join("own", "\n")
     kept = [c for c in docs.columns if c not in ("n_lines", "lines_removed", text_col)]
-    columns = {c: F.col("r.doc").getField(c) for c in kept}
-    columns[text_col] = F.when(cut, left).otherwise(F.col("r.text"))
+    columns = {c: F.col("doc").getField(c) for c in kept}
+    columns[text_col] = F.when(cut, left).otherwise(F.col("text"))
     return joined.select(
         *[columns[c].alias(c) for c in docs.columns if c in columns],
-        F.when(F.col("r.text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(cut, F.size("g.gone")).otherwise(0).cast("long").alias("lines_removed"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(cut, F.size("gone")).otherwise(0).cast("long").alias("lines_removed"),
     )
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = remove_boilerplate(spark.read.parquet(f"{folder}/documents.parquet"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = remove_boilerplate(docs, long_documents=3, own_lines=True)
     return out.select("doc_id", "n_lines", "lines_removed", "text")
 
 
@@ -114,20 +119,23 @@ QUERIES = {"op9_line_dedup": op9_line_dedup}
 
 CLEAN_SQL = """
   split_lines AS (
-    SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+    SELECT doc_id, source, text, md5(text) AS body, unnest(string_split(text, chr(10))) AS line,
            unnest(range(len(string_split(text, chr(10))))) AS pos FROM {docs}),
+  keyed AS (
+    SELECT *, trim(line) AS key, length(line) > 300 OR length(line) > 100
+             AND len(string_split_regex(trim(line), '[ \\t\\n\\x0B\\f\\r]+')) > 50 AS long
+    FROM split_lines WHERE trim(line) <> ''),
   spread AS (
-    SELECT trim(line) AS line FROM split_lines WHERE trim(line) <> ''
-    GROUP BY 1 HAVING count(DISTINCT coalesce(source, '')) >= 10),
+    SELECT key FROM keyed GROUP BY 1
+    HAVING count(DISTINCT coalesce(source, '')) >= 10 OR count(DISTINCT (doc_id, body)) FILTER (WHERE long) >= 3),
   ordered_lines AS (
-    SELECT doc_id, pos, text, s.line,
-           row_number() OVER (PARTITION BY trim(s.line) ORDER BY doc_id NULLS LAST, pos) > 1 AS gone
-    FROM split_lines s JOIN spread b ON trim(s.line) = b.line),
-  cut AS (
-    SELECT doc_id, list(pos) AS gone, sum(length(line)) AS chars FROM ordered_lines WHERE gone GROUP BY doc_id),
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS LAST, pos) > 1 AS gone
+    FROM keyed JOIN spread USING (key)),
+  cut AS (SELECT doc_id, list(pos) AS gone FROM ordered_lines WHERE gone GROUP BY doc_id),
   cleaned AS (
     SELECT d.*, coalesce(len(string_split(text, chr(10))), 0) AS n_lines,
-           c.gone IS NOT NULL AND 2 * c.chars <= length(text) - len(string_split(text, chr(10))) + 1 AS has_cut,
+           c.gone IS NOT NULL AND len([x FOR x, i IN string_split(text, chr(10))
+             IF trim(x) <> '' AND NOT list_contains(c.gone, i - 1)]) > 0 AS has_cut,
            c.gone AS gone
     FROM {docs} d LEFT JOIN cut c USING (doc_id)),
   line_dedup AS (

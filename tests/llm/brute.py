@@ -3,6 +3,11 @@
 import math
 import re
 from collections import Counter, defaultdict
+from itertools import accumulate
+
+import zstandard
+
+from postbag.llm import license_scan
 
 
 def shingle_set(text, width):
@@ -113,3 +118,41 @@ def step_ratios(labelled, contexts, discount=0.75, unseen=1e-3):
         for k in [0, *contexts.values()]:
             p[c, k] = fill({b: n for (x, b), n in table.items() if x == k}, whole)
     return {(k, b): math.log(p[True, k][b] / p[False, k][b]) for k in [0, *contexts.values()] for b in firsts}
+
+
+def licenses(scanner, text: str) -> list[str]:
+    """Licences in order of place: every window of words against every template, ranked by fresh compressors."""
+
+    def size(words, dictionary=None):
+        data = zstandard.ZstdCompressionDict(" ".join(dictionary).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
+        c = zstandard.ZstdCompressor(level=9, dict_data=data, write_content_size=False, write_dict_id=False)
+        return len(c.compress(" ".join(words).encode()))
+
+    words = license_scan.words_of(text)
+    found = []
+    for name, template in scanner.wanted.items():
+        n = len(template)
+        told = [w for w in template if scanner.telling(w)]
+        best = []
+        for a in range(len(words)):
+            row = [0] * (n + 1)
+            for b in range(a, min(len(words), a + n + n // 2 + 3)):
+                row = list(accumulate(range(1, n + 1), lambda left, k: max(left, row[k], row[k - 1] + (template[k - 1] == words[b])), initial=0))
+                own = words[a : b + 1]
+                if row[n] < scanner.least_cover * n or [w for w in own if scanner.telling(w)] != told:
+                    continue
+                if not license_scan.NEGATIONS.intersection(words[max(0, a - 2) : b + 1]):
+                    best.append((-row[n], b - a, a, b + 1))
+        taken = []
+        for cover, _, a, b in sorted(best):
+            if all(b <= x or y <= a for x, y in taken):
+                taken.append((a, b))
+                own = words[a:b]
+                alone, left = size(own), size(own, template)
+                if (alone - left) / (alone - size([])) >= scanner.least_reduction:
+                    found.append((left - alone, a, b, name))
+    kept = []
+    for _, a, b, name in sorted(found):
+        if not any(x <= a and b <= y for x, y, _ in kept):
+            kept.append((a, b, name))
+    return [name for _, _, name in sorted(kept)]

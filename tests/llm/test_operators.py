@@ -220,6 +220,29 @@ def test_line_dedup(spark, odd):
     assert line_dedup.remove_boilerplate(odd).count() == len(ODD)
 
 
+def test_line_dedup_cuts_what_is_mostly_boilerplate(spark):
+    """Of a document 70 % of which is boilerplate, the boilerplate goes; a copy stays whole; long lines need no ten sites."""
+    spread = "\n".join(f"a line that every site has, number {k}" for k in range(7))
+    long = " ".join(f"passage{k}" for k in range(60))
+    rows = [(i, f"{spread}\nown text of the document {i}", f"site{i}") for i in range(12)]
+    rows += [(20, spread, "copy"), *((i, f"own {i}\n{long}", "hot") for i in range(30, 33))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = line_dedup.remove_boilerplate(docs, long_documents=3, own_lines=True)
+    got = {r.doc_id: (r.lines_removed, r.text) for r in out.collect()}
+    assert got[0] == (0, rows[0][1]) and got[20] == (0, spread) and got[30] == (0, rows[13][1])
+    assert all(got[i] == (7, f"own text of the document {i}") for i in range(1, 12))
+    assert got[31] == (1, "own 31") and got[32] == (1, "own 32")
+    assert line_dedup.remove_boilerplate(docs.where("false"), own_lines=True).count() == 0
+
+
+def test_line_dedup_of_one_long_document(spark):
+    """Work grows with the lines of a document, not with their square."""
+    rows = [(i, "\n".join(f"line {k}" for k in range(40_000)) + f"\nown {i}", f"site{i}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    got = {r.doc_id: (r.lines_removed, r.text) for r in line_dedup.remove_boilerplate(docs, own_lines=True).collect()}
+    assert got[0][0] == 0 and all(got[i] == (40_000, f"own {i}") for i in range(1, 10))
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(4)
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7))) for _ in range(300)]
@@ -334,3 +357,19 @@ def test_pipeline_keeps_whole_only_what_has_no_own_line(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
     assert got == {0: rows[0][1], **dict(enumerate(own[1:], 1)), 20: long}
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    """Rows that repeat, with an id or without one, are packed once; near copies under other ids go."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{k}" for k in range(40))
+    near, other = text + " more", " ".join(f"other{k}" for k in range(40))
+    rows = [(1, text, 0.5), (1, text, 0.5), (None, text, 0.5), (None, other, 1.0), (None, other, 1.0), (2, near, 0.1)]
+    rows += [(3, None, 0.1), (3, None, 0.1), (4, "", 0.2), (4, "", 0.2), (None, None, 0.3), (5, "short", None), (6, "short", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node double")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    got = sorted(map(tuple, out.collect()), key=repr)
+    want = [(1, text, 0.5), (None, other, 1.0), (3, None, 0.1), (4, "", 0.2), (None, None, 0.3), (5, "short", None)]
+    assert out.columns == docs.columns and got == sorted(want, key=repr)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.where("false"), "").count() == 0
