@@ -32,10 +32,25 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
-    marked = minhash.near_duplicates(docs)
-    gone = marked.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document, that with the smallest id, of each group of near duplicates.
+
+    Rows that repeat an id together with its text are one document, of which one row stays. A row without id
+    is a document of its text's, behind all that have an id. Texts under one id count as one document; each
+    different one stays where its document does.
+    """
+    body = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    place = F.shiftrightunsigned(F.xxhash64("text"), 2) + (1 << 62)
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), place).alias("node"),
+        F.struct(*docs.columns).alias("doc"),
+        F.struct(F.col("text").isNull(), body).alias("body"),
+    )
+    marked = minhash.near_duplicates(rows.select("node", "doc.text"), id_col="node")
+    gone = marked.where("NOT kept").select(F.col("doc_id").alias("node")).distinct()
+    repeated = keep(rows.groupBy("node", "body").count().where("count > 1").select("node").distinct(), "repeated")
+    left = rows.join(gone, "node", "left_anti")
+    once = left.join(repeated, "node", "left_semi").groupBy("node", "body").agg(F.first("doc").alias("doc"))
+    return left.join(repeated, "node", "left_anti").select("doc.*").unionAll(once.select("doc.*")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
