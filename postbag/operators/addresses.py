@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postbag import schema as S
 from postbag.functions.text import infer_email
-from postbag.operators.skew import salted_join
+from postbag.operators.skew import places, salted_join
 
 
 def select_contact_fields(raw: DataFrame, *keep: str) -> DataFrame:
@@ -34,11 +34,20 @@ def with_address(contacts: DataFrame) -> DataFrame:
 def resolve_address(
     contacts: DataFrame,
     on_file: DataFrame,
-    spread: Sequence[str] = ("row_pos",),
+    spread: Sequence[str] | None = None,
     hot: DataFrame | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
-    """An address on file (``profile_url, on_file``) wins, then the supplied, then the inferred one."""
-    joined = salted_join(contacts, on_file, ["profile_url"], spread, "left", hot)
+    """An address on file (``profile_url, on_file``) wins, then the supplied, then the inferred one.
+
+    Of several addresses on file for a profile the last by ``order`` is taken, columns of ``on_file``, and of
+    those that are equal in it the greatest; so each contact comes back once. Contacts of one profile are spread
+    by ``spread``, their run and position unless given.
+    """
+    known = on_file.where(F.col("on_file").isNotNull()).groupBy("profile_url")
+    one = known.agg(F.max_by("on_file", F.struct(*order, "on_file")).alias("on_file"))
+    spread = places(contacts) if spread is None else spread
+    joined = salted_join(contacts, one, ["profile_url"], spread, "left", hot)
     inferred = infer_email(F.col("first_name"), F.col("last_name"), F.col("company"))
     source = (
         F.when(F.col("on_file").isNotNull(), "on_file")

@@ -1,19 +1,26 @@
 """Prompts, the model step, and checks on what comes back."""
 
 import json
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postbag import workspace
 from postbag.functions.text import default_if_blank, fill_template, strip
+from postbag.operators.ordered import ranged_sum
 from postbag.operators.skew import HOT_ROWS, hottest, salted_join
 
 Messages = list[tuple[str, str]]
 Model = Callable[[list[Messages]], list[str]]
 
+ANSWERS = "_prompt string, _rows bigint, _value string, _error string"
+ANSWER_BATCH = "answer_batch"
+#: Prompts a task asks at most: a task that is lost asks so many again.
+CALLS = 10_000
+
 # The last message of each prompt, the default request, the fields of a summary.
 PROFILE_TEMPLATE = "Here is receiver profile: {profile_summary}"
 SUBJECT_TEMPLATE = "Here is email you need to generate subject for: {email_body}"
@@ -97,12 +104,18 @@ def ask_model(
     parallelism: int | None = None,
     path: str | None = None,
     label: str = "answers",
+    store: str | None = None,
+    calls: int = CALLS,
 ) -> DataFrame:
     """``_prompt, _rows, _value, _error`` for every distinct text of ``asked``'s column ``_asked``.
 
     ``_prompt`` is the digest of the text, ``_rows`` the number of rows that share it. The answers
     are written to the shared folder before anything is built on them, so that a task lost later
     does not ask again.
+
+    With ``store``, a folder for one model's answers, they outlive the run: what the model has answered before
+    is looked up there, only new prompts are asked, by tasks of at most ``calls`` prompts, and their answers
+    are added. A prompt that failed is asked again by the next run.
     """
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,16 +134,39 @@ def ask_model(
                 }
             )
 
-    prompts = (
-        asked.where(F.col("_asked").isNotNull())
-        .groupBy("_asked")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(F.sha2("_asked", 256).alias("_prompt"), "_rows", "_asked")
-    )
-    if parallelism:
-        prompts = prompts.repartition(parallelism, "_prompt")
-    answered = prompts.mapInPandas(ask, "_prompt string, _rows bigint, _value string, _error string")
-    return workspace.keep(answered, label, path)
+    keyed = asked.where(F.col("_asked").isNotNull()).select(F.sha2("_asked", 256).alias("_prompt"), "_asked")
+    rows = F.count(F.lit(1)).alias("_rows")
+    if store is None:
+        prompts = keyed.groupBy("_prompt").agg(rows, F.any_value("_asked").alias("_asked"))
+        if parallelism:
+            prompts = prompts.repartition(parallelism, "_prompt")
+        return workspace.keep(prompts.mapInPandas(ask, ANSWERS), label, path)
+    known = stored_answers(asked.sparkSession, store)
+    distinct = keyed.groupBy("_prompt").agg(rows, F.any_value("_asked").alias("_asked"))
+    new = distinct.join(known.select("_prompt"), "_prompt", "left_anti")
+    placed, _ = ranged_sum(new, [F.col("_prompt")], None, "_nth")
+    tasks = -(-placed.count() // calls)
+    batch_path = f"{store}/{ANSWER_BATCH}={uuid.uuid4().hex}"
+    if tasks:
+        by_task = placed.repartitionById(tasks, F.expr(f"int(_nth div {calls})"))
+        added = workspace.keep(by_task.mapInPandas(ask, ANSWERS), label, batch_path)
+        failed = added.where("_error IS NOT NULL").select("_prompt", "_value", "_error")
+    answers = stored_answers(asked.sparkSession, store)
+    if tasks:
+        answers = answers.unionByName(failed)
+    counts = keyed.groupBy("_prompt").agg(rows)
+    return workspace.keep(counts.join(answers, "_prompt").select("_prompt", "_rows", "_value", "_error"), label, path)
+
+
+def stored_answers(spark: SparkSession, store: str) -> DataFrame:
+    """``_prompt, _value, _error`` of all prompts a store has an answer to, one row each; none if there is no store.
+
+    Runs at the same time may both have asked a prompt; one of their answers is taken.
+    """
+    none = workspace.keep(spark.createDataFrame([], ANSWERS), "answers", f"{store}/{ANSWER_BATCH}=none")
+    answers = spark.read.schema(none.schema).parquet(store).where("_error IS NULL")
+    one = answers.groupBy("_prompt").agg(F.min("_value").alias("_value"))
+    return one.withColumn("_error", F.lit(None).cast("string"))
 
 
 def complete(
@@ -145,7 +181,8 @@ def complete(
     """Add ``out``, a ``struct<value, error>``: the model's answer to ``messages``.
 
     ``make_model`` is called once per task and gives a function from a list of prompts to a list
-    of answers. Equal prompts are asked once. Rows whose messages are NULL are not asked.
+    of answers. Equal prompts are asked once. Rows whose messages are NULL are not asked. ``options`` are those
+    of ``ask_model``, such as ``store``.
     """
     asked = F.to_json(messages)
     answered = ask_model(df.select(asked.alias("_asked")), make_model, label=f"answers-{out}", **options)

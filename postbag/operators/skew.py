@@ -40,6 +40,11 @@ def hottest(counts: DataFrame, keys: Sequence[str], n: str, share: float = HOT_R
     )
 
 
+def places(contacts: DataFrame) -> list[str]:
+    """What tells contacts of a key apart: their run, if they have one, and their position in it."""
+    return [c for c in ("run_id", "row_pos") if c in contacts.columns]
+
+
 def _slice(spread: Sequence[str], slices: Column) -> Column:
     return F.pmod(F.xxhash64(*spread), slices.cast("bigint")).cast("int")
 

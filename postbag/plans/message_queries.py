@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postbag import workspace
 from postbag.functions.text import chunk_text
 from postbag.operators import drafts as D
 from postbag.plans.tables import sql_strip, sql_text, table
@@ -46,6 +47,27 @@ def personalized(spark: SparkSession, folder: str) -> DataFrame:
     return written.select("doc_id", "summary", "body", "subject", "error")
 
 
+def mute_model() -> D.Model:
+    """Refuses all prompts: whoever gets an answer has it from a store."""
+
+    def answer(prompts: list[D.Messages]) -> list[str]:
+        raise RuntimeError("asked again")
+
+    return answer
+
+
+def answered_again(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``personalized``, but by a second run that finds all its answers in the store of the first."""
+    documents = table(spark, folder, "documents")
+    request = F.when(F.col("lang") != "en", F.concat(F.lit("Write in "), "lang"))
+    store, written = workspace.fresh(spark, "answer-store"), documents
+    for model in (stand_in_model, mute_model):
+        written = D.personalize(
+            documents, model, ("doc_id",), "text", request, F.col("source"), store=store
+        )
+    return written.select("doc_id", "summary", "body", "subject", "error")
+
+
 def output_checks(spark: SparkSession, folder: str) -> DataFrame:
     said = table(spark, folder, "conversations").select(
         "conv_id",
@@ -70,6 +92,7 @@ def text_chunks(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "prompt_text": prompt_text,
     "personalized": personalized,
+    "answered_again": answered_again,
     "output_checks": output_checks,
     "text_chunks": text_chunks,
 }
@@ -107,6 +130,14 @@ def sql_answer(prompt: str) -> str:
     return f"length({prompt}) || ' characters, ' || md5({prompt})"
 
 
+SQL_PERSONALIZED = f"""
+      WITH s AS (SELECT *, {sql_summary('text')} AS p1 FROM documents),
+      t AS (SELECT *, {sql_answer('p1')} AS summary FROM s),
+      u AS (SELECT *, {sql_mail('summary', _sql_request("'Write in ' || lang"), 'source')} AS p2 FROM t),
+      v AS (SELECT *, {sql_answer('p2')} AS body FROM u),
+      w AS (SELECT *, {sql_subject('body')} AS p3 FROM v)
+      SELECT doc_id, summary, body, {sql_answer('p3')} AS subject, CAST(NULL AS VARCHAR) AS error FROM w"""
+
 _WORDS = rf"len(string_split_regex({sql_strip('text')}, '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+'))"
 _BODY = "CASE WHEN role = 'user' THEN 'Hello [First name]! ' || text || ' [Sign' || chr(10) || 'off]' ELSE text END"
 
@@ -115,13 +146,8 @@ SQL = {
       SELECT doc_id, 'summary' AS kind, {sql_summary('text')} AS prompt FROM documents
       UNION ALL SELECT doc_id, 'mail', {sql_mail('text', _sql_request("'Write {in} ' || lang"), 'source')} FROM documents
       UNION ALL SELECT doc_id, 'subject', {sql_subject('text')} FROM documents""",
-    "personalized": f"""
-      WITH s AS (SELECT *, {sql_summary('text')} AS p1 FROM documents),
-      t AS (SELECT *, {sql_answer('p1')} AS summary FROM s),
-      u AS (SELECT *, {sql_mail('summary', _sql_request("'Write in ' || lang"), 'source')} AS p2 FROM t),
-      v AS (SELECT *, {sql_answer('p2')} AS body FROM u),
-      w AS (SELECT *, {sql_subject('body')} AS p3 FROM v)
-      SELECT doc_id, summary, body, {sql_answer('p3')} AS subject, CAST(NULL AS VARCHAR) AS error FROM w""",
+    "personalized": SQL_PERSONALIZED,
+    "answered_again": SQL_PERSONALIZED,
     "output_checks": rf"""
       WITH c AS (SELECT conv_id, turn, CAST(len(regexp_extract_all({_BODY}, '\[[^\]]+\]')) AS INTEGER) AS placeholders,
                         CAST(CASE WHEN {sql_strip('text')} = '' THEN 0 ELSE {_WORDS} END AS INTEGER) AS words,

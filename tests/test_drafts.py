@@ -106,3 +106,54 @@ def test_answers_lie_in_the_shared_folder(spark):
     path = workspace.fresh(spark, "kept")
     kept = workspace.keep(spark.range(5), "kept", path)
     assert path.startswith(root) and os.path.isdir(path) and path in kept.inputFiles()[0]
+
+
+@pytest.fixture
+def asked(spark):
+    text = F.when(F.col("id") % 3 == 0, "same").when(F.col("id") == 10, "bad").otherwise(F.col("id").cast("string"))
+    return spark.range(60).withColumn("text", F.when(F.col("id") != 11, text))
+
+
+def told_to(path):
+    """A model that writes a line per call of a task: how many prompts it got by then, then what it was asked."""
+
+    def make_model():
+        answer, name = echo(), os.path.join(path, os.urandom(8).hex())
+
+        def model(prompts):
+            with open(name, "a") as f:
+                f.writelines(p[-1][1] + "\n" for p in prompts)
+            return answer(prompts)
+
+        return model
+
+    return make_model
+
+
+def test_answers_outlive_a_run(spark, tmp_path, asked):
+    """New prompts only are asked, failed ones again, and no task asks more than it may."""
+    messages = F.when(F.col("text").isNotNull(), D.chat(("human", F.col("text"))))
+    store, runs = workspace.fresh(spark, "store"), []
+    for n, rows in enumerate([asked.where("id < 30"), asked, asked.where("id <> 10"), asked.where("false")]):
+        path = tmp_path / str(n)
+        path.mkdir()
+        done = D.complete(rows, messages, told_to(str(path)), "answer", ["id"], batch=1, store=store, calls=7)
+        got = {r.id: r.answer for r in done.collect()}
+        per_task = [f.read_text().split() for f in path.iterdir()]
+        assert all(len(t) <= 7 for t in per_task) and len(got) == rows.count()
+        runs.append((got, sorted(x for t in per_task for x in t)))
+    (first, asked_first), (second, asked_second), (third, asked_third), (none, asked_none) = runs
+    assert len(asked_first) == len(set(asked_first)) == 20 and "same" in asked_first
+    new = {str(i) for i in range(30, 60) if i % 3}
+    assert asked_second == sorted(new | {"bad"}) and asked_third == [] and asked_none == [] and none == {}
+    assert second[10].error == "cannot answer" and second[0].value == second[57].value == "1:same"
+    assert second[11].asDict() == {"value": None, "error": None} and second[59].value == "1:59"
+    assert {i: a for i, a in second.items() if i != 10} == third and all(second[i] == a for i, a in first.items())
+
+
+def test_stores_answers_of_two_runs_once(spark):
+    store = workspace.fresh(spark, "store")
+    for batch, value in (("a", "x"), ("b", "y")):
+        rows = [("p", 1, value, None), ("q", 1, None, "failed")]
+        workspace.keep(spark.createDataFrame(rows, D.ANSWERS), "answers", f"{store}/{D.ANSWER_BATCH}={batch}")
+    assert [tuple(r) for r in D.stored_answers(spark, store).collect()] == [("p", "x", None)]

@@ -16,6 +16,7 @@ from postbag.sources import logs
 WRITTEN = {
     "contact_file_checks", "stream_contacts", "outbox_by_day", "log_append", "personalized",
     "campaign_outcomes", "stream_daily", "stream_status", "late_events", "stream_decisions",
+    "answered_again",
 }
 PYTHON = {"page_text_html", "page_text_nested"}
 
