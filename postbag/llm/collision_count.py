@@ -1,13 +1,16 @@
 """Near-duplicate vectors by counting collisions of one-dimensional projections.
 
-Two vectors of a cosine of at least the threshold are close in every projection. Each vector is the
-centre of a window on each of the sorted projections; a pair's collisions are counted over all of them,
-and a pair with enough is verified. How many are enough is calibrated on the distribution of a pair
-that lies exactly at the threshold.
+Two vectors of a cosine of at least the threshold are close in every projection. Several leading
+projections at once cut the vectors into small cells, in many tables with cells of their own, so that a
+pair at the threshold shares a cell of some table. In a cell, a further projection is sorted, each vector
+is the centre of a window on it, and for the pairs in a window collisions are counted over the other
+projections; a pair with enough is verified. How many tables and how many collisions are enough is
+calibrated on the distribution of a pair that lies exactly at the threshold.
 """
 
 from collections.abc import Iterator
-from math import comb, erf, sqrt
+from functools import lru_cache
+from math import ceil, comb, erf, exp, log, log1p, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -15,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postbag.llm.common import keep, plain
+from postbag.llm.common import keep, mix, plain, seeds
 from postbag.llm.components import components
 
 WINDOW = 2.0  # half a window, in standard deviations of a projected difference at the threshold
-LEAD = 4.5  # the same for the projection that lays out the work
+LEAD = 5.0  # the same for the sorted projection, whose windows name the pairs that are counted
+CELL = 7.5  # width of a cell on a leading projection, in the same unit
+MISS = 1e-6  # share of the pairs at the threshold that share no cell of any table
+CHUNK = 1 << 20  # pairs looked at together
 
 
 def enough(projections: int, miss: float = 1e-7) -> int:
@@ -35,15 +41,52 @@ def enough(projections: int, miss: float = 1e-7) -> int:
 
 
 def directions(dimension: int, projections: int) -> np.ndarray:
-    """Fixed Gaussian directions; the first is the lead."""
+    """Fixed Gaussian directions; the first is the one that is sorted."""
     return np.random.default_rng(7).standard_normal((dimension, projections + 1))
 
 
-def _projected(threshold: float):
+def _meet(width: float, spread: float) -> float:
+    """Chance of one cell for two values whose difference is normal with deviation ``spread``; cells start anywhere."""
+    return erf(width / spread / sqrt(2)) - spread / width * sqrt(2 / pi) * (1 - exp(-((width / spread) ** 2) / 2))
+
+
+def layout(nodes: int, threshold: float) -> tuple[float, int, int]:
+    """Width of cells, leading projections per table, and tables.
+
+    So many projections that unlike vectors share a cell with about one of all ``nodes``, then so many tables
+    that a pair at the threshold shares none with a chance of ``MISS`` at most.
+    """
+    spread = max(sqrt(max(2 - 2 * threshold, 0)), 1e-6)
+    width = min(CELL * spread, 2.0)
+    depth = max(4, ceil(log(max(nodes, 2)) / -log(_meet(width, sqrt(2)))))
+    return width, depth, ceil(log(MISS) / log1p(-(_meet(width, spread) ** depth)))
+
+
+@lru_cache(8)
+def _leads(dimension: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(11)
+    return np.round(r.standard_normal((dimension, count)) * (1 << 16)), r.random(count)
+
+
+def cell_keys(units: np.ndarray, width: float, depth: int, tables: int) -> np.ndarray:
+    """A 64-bit key of each unit vector's cell in each table.
+
+    Vectors and directions are rounded so that every sum is exact, whatever the order of its terms: a
+    vector has the same keys wherever they are worked out.
+    """
+    lead, start = _leads(units.shape[1], depth * tables)
+    cells = np.floor(np.round(units * (1 << 20)) @ lead / (width * (1 << 36)) + start).astype(np.int64).view(np.uint64)
+    cells = cells.reshape(len(units), tables, depth)
+    keys = np.broadcast_to(seeds(tables), (len(units), tables))
+    for k in range(depth):
+        keys = mix(keys ^ cells[:, :, k])
+    return keys.view(np.int64)
+
+
+def _units():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = LEAD * sqrt(2 - 2 * threshold)
         for batch in batches:
-            ids, labels, dims, data, cells = [], [], [], [], []
+            ids, labels, dims, data = [], [], [], []
             for i, label, values in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if label is None or i is None or not values or None in values:
                     continue
@@ -56,33 +99,66 @@ def _projected(threshold: float):
                 labels.append(label)
                 dims.append(len(x))
                 data.append((x + 0.0).tobytes())
-                cells.append(int(np.floor(x @ directions(len(x), 0)[:, 0] / step)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array(labels, pa.string()),
                     pa.array(dims, pa.int32()),
                     pa.array(data, pa.binary()),
-                    pa.array(cells, pa.int64()),
                 ],
-                ["vec_id", "label", "dim", "unit", "cell"],
+                ["vec_id", "label", "dim", "unit"],
             )
 
     return run
 
 
-def collisions(a: np.ndarray, b: np.ndarray, half: float) -> np.ndarray:
-    """For each row of ``a`` and of ``b`` (projections), in how many columns ``b`` is in the window of ``a``."""
-    counts = np.zeros((len(a), len(b)), np.uint8)
-    for k in range(a.shape[1]):
-        order = np.argsort(b[:, k], kind="stable")
-        rank = np.empty(len(b), np.int32)
-        rank[order] = np.arange(len(b), dtype=np.int32)
-        line = b[order, k]
-        low = np.searchsorted(line, a[:, k] - half, "left").astype(np.int32)
-        high = np.searchsorted(line, a[:, k] + half, "right").astype(np.int32)
-        counts += (rank[None, :] >= low[:, None]) & (rank[None, :] < high[:, None])
-    return counts
+def _keyed(width: float, depth: int, tables: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(0).to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                keys = np.empty((part.num_rows, tables), np.int64)
+                for k in range(0, part.num_rows, 1000):
+                    units = np.frombuffer(b"".join(part.column(1)[k : k + 1000].to_pylist()), np.float64).reshape(-1, dim)
+                    keys[k : k + 1000] = cell_keys(units, width, depth, tables)
+                ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * tables)
+                lists = pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], part.column(0), lists], ["node", "digest", "label", "dim", "cells"])
+
+    return run
+
+
+def windows(a: np.ndarray, b: np.ndarray, half: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in ``a`` and ``b`` (one projection), ``b`` in the window around ``a``, in chunks of bounded size."""
+    order = np.argsort(b, kind="stable")
+    line = b[order]
+    low, high = np.searchsorted(line, a - half, "left"), np.searchsorted(line, a + half, "right")
+    n = np.maximum(high - low, 0)
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(a):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
+        m = n[start:stop]
+        inside = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        yield np.repeat(np.arange(start, stop), m), order[np.repeat(low[start:stop], m) + inside]
+        start = stop
+
+
+def colliding(shadows: np.ndarray, i: np.ndarray, j: np.ndarray, half: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows of ``shadows`` (projections), those with ``least`` collisions or more.
+
+    Pairs that can't get there any more aren't counted on.
+    """
+    count = np.zeros(len(i), np.int16)
+    total = shadows.shape[1]
+    for k in range(total):
+        count += np.abs(shadows[i, k] - shadows[j, k]) <= half
+        if k % 4 == 3 or k == total - 1:
+            left = count + (total - 1 - k) >= least
+            i, j, count = i[left], j[left], count[left]
+    return i, j
 
 
 def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -99,29 +175,37 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
     return root
 
 
-def _linked(threshold: float, projections: int):
-    half, least = WINDOW * sqrt(2 - 2 * threshold), enough(projections)
+def _linked(threshold: float, projections: int, width: float, depth: int, tables: int):
+    spread, least = sqrt(max(2 - 2 * threshold, 0)), enough(projections)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Links inside one unit of work: how many each vector has, and the smallest vector it reaches."""
+        """Links inside one unit of work: how many each vector has, and the smallest vector it reaches.
+
+        A pair that shares a cell of an earlier table too is counted there, so every pair counts once.
+        """
         units = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(group), -1)
         first = group["first"].to_numpy()
-        split = not first.all()
+        split = group["low"].iloc[0] != group["high"].iloc[0]
         at_a = np.flatnonzero(first)
         at_b = np.flatnonzero(~first) if split else at_a
-        pair = np.empty((0, 2), np.int64)
+        pairs = [np.empty((0, 2), np.int64)]
         if len(at_a) and len(at_b):
-            shadows = units @ directions(units.shape[1], projections)[:, 1:]
-            close = collisions(shadows[at_a], shadows[at_b], half) >= least
-            if not split:
-                close = np.triu(close, 1)
-            i, j = np.nonzero(close)
-            i, j = at_a[i], at_b[j]
-            same = np.empty(len(i))
-            for k in range(0, len(i), 100_000):
-                same[k : k + 100_000] = np.einsum("ij,ij->i", units[i[k : k + 100_000]], units[j[k : k + 100_000]])
-            linked = same >= threshold
-            pair = np.column_stack([i[linked], j[linked]])
+            shadows = units @ directions(units.shape[1], projections)
+            earlier = cell_keys(units, width, depth, tables)[:, : int(group["table"].iloc[0])]
+            for i, j in windows(shadows[at_a, 0], shadows[at_b, 0], LEAD * spread + 1e-9):
+                i, j = at_a[i], at_b[j]
+                if not split:
+                    i, j = i[i < j], j[i < j]
+                for keys in earlier.T:
+                    apart = keys[i] != keys[j]
+                    i, j = i[apart], j[apart]
+                i, j = colliding(shadows[:, 1:], i, j, WINDOW * spread + 1e-9, least)
+                same = np.empty(len(i))
+                for k in range(0, len(i), 100_000):
+                    same[k : k + 100_000] = np.einsum("ij,ij->i", units[i[k : k + 100_000]], units[j[k : k + 100_000]])
+                linked = same >= threshold
+                pairs.append(np.column_stack([i[linked], j[linked]]))
+        pair = np.concatenate(pairs)
         weight = group["copies"].to_numpy()
         links = np.bincount(pair[:, 0], weight[pair[:, 1]], len(group)) + np.bincount(pair[:, 1], weight[pair[:, 0]], len(group))
         ids = group["node"].to_numpy()
@@ -135,6 +219,24 @@ def _linked(threshold: float, projections: int):
     return run
 
 
+def cells(nodes: DataFrame, width: float, depth: int, tables: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """``node, digest, label, dim, table, key`` for each node and table, written, and the cells that have work to do.
+
+    Cells come with their ``size`` and number of ``blocks``. Those of one node have no work, and of cells
+    with the same nodes in several tables only the first has.
+    """
+    keyed = nodes.select("dim", "unit", "node", "digest", "label").mapInArrow(
+        _keyed(width, depth, tables), "node long, digest long, label string, dim int, cells array<long>"
+    )
+    rows = keep(keyed.select("node", "digest", "label", "dim", F.posexplode("cells").alias("table", "key")), "vector-cells")
+    members = rows.groupBy("label", "dim", "table", "key").agg(
+        F.count("*").alias("size"), *[F.bit_xor(F.xxhash64("node", "digest", F.lit(k))).alias(f"set{k}") for k in (0, 1)]
+    )
+    ones = members.where("size > 1").groupBy("label", "dim", "size", "set0", "set1")
+    ones = ones.agg(F.min(F.struct("table", "key")).alias("cell")).select("label", "dim", "size", "cell.*")
+    return rows, ones.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+
+
 def near_vectors(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -142,14 +244,14 @@ def near_vectors(
     label_col: str = "label",
     threshold: float = 0.98,
     projections: int = 32,
-    block: int = 256,
+    block: int = 2048,
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for each row of ``vectors``.
 
     Rows are linked when their labels are equal and not NULL and their cosine, in double precision, is
     ``threshold`` or more. Equal directions become one node with a number of copies. Nodes of a label are
-    sorted into cells along the lead projection, so wide that a pair at the threshold is in the same cell
-    or in neighbours but for 7 in a million; cells are dealt into blocks of about ``block`` nodes, and
+    sorted into cells of several leading projections at once, in as many tables as ``layout`` says; a pair at
+    the threshold shares none but for one in a million. Cells are dealt into blocks of about ``block`` nodes, and
     each pair of blocks is one group, in which collisions are counted and candidates verified. Groups are
     of bounded size, and give a count and a root per node, never pairs.
 
@@ -159,45 +261,24 @@ def near_vectors(
     """
     rows = plain(vectors, vec_id=id_col, label=label_col, embedding=vector_col)
     units = rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding")
-    units = keep(
-        units.mapInArrow(_projected(threshold), "vec_id long, label string, dim int, unit binary, cell long"), "vector-units"
-    )
+    units = keep(units.mapInArrow(_units(), "vec_id long, label string, dim int, unit binary"), "vector-units")
     same = ["label", "dim", "unit"]
-    nodes = units.groupBy(*same, "cell").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    nodes = keep(nodes, "vector-nodes")
-    lane = ["label", "dim", "cell"]
-    cells = nodes.groupBy(*lane).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    following = cells.select("label", "dim", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("blocks_next"))
-    preceding = cells.select("label", "dim", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("blocks_before"))
-    laid = cells.join(following, lane, "left").join(preceding, lane, "left")
-    placed = nodes.join(laid, lane).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-
-    def work(low_cell, low, high_cell, high, first):
-        return F.struct(
-            low_cell.alias("low_cell"), low.alias("low"), high_cell.alias("high_cell"), high.alias("high"), F.lit(first).alias("first")
-        )
-
-    cell, own = F.col("cell"), F.col("own")
-
-    def upto(n):
-        return F.sequence(F.lit(0), n - 1)
-
-    none = F.array().cast("array<struct<low_cell:bigint,low:int,high_cell:bigint,high:int,first:boolean>>")
-    inside = F.transform(
-        upto(F.col("blocks")),
-        lambda k: F.when(k >= own, work(cell, own, cell, k, True)).otherwise(work(cell, k, cell, own, False)),
+    nodes = units.groupBy(*same).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    nodes = keep(nodes.withColumn("digest", F.xxhash64(*same)), "vector-nodes")  # an id may stand for several vectors
+    how = layout(nodes.count(), threshold)
+    keyed, busy = cells(nodes, *how, block)
+    lane = ["label", "dim", "table", "key"]
+    own = F.pmod(F.xxhash64("node", "digest"), F.col("blocks")).cast("int").alias("own")
+    placed = keyed.join(busy.drop("size"), lane).select(*lane, "node", "digest", "blocks", own)
+    work = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda k: F.struct(F.least(k, "own").alias("low"), F.greatest(k, "own").alias("high"), (k >= F.col("own")).alias("first")),
     )
-    onward = F.when(
-        F.col("blocks_next").isNotNull(), F.transform(upto(F.col("blocks_next")), lambda k: work(cell, own, cell + 1, k, True))
-    ).otherwise(none)
-    backward = F.when(
-        F.col("blocks_before").isNotNull(), F.transform(upto(F.col("blocks_before")), lambda k: work(cell - 1, k, cell, own, False))
-    ).otherwise(none)
-    tasks = placed.select("label", "dim", "node", "copies", "unit", F.explode(F.concat(inside, onward, backward)).alias("w"))
-    tasks = tasks.select("label", "dim", "node", "copies", "unit", "w.low_cell", "w.low", "w.high_cell", "w.high", "w.first")
+    tasks = placed.select(*lane, "node", "digest", F.explode(work).alias("w")).select(*lane, "node", "digest", "w.*")
+    tasks = tasks.join(nodes.select("node", "digest", "copies", "unit"), ["node", "digest"]).drop("digest")
     found = keep(
-        tasks.groupBy("label", "dim", "low_cell", "low", "high_cell", "high").applyInPandas(
-            _linked(threshold, projections), "node long, links long, root long"
+        tasks.groupBy(*lane, "low", "high").applyInPandas(
+            _linked(threshold, projections, *how), "node long, links long, root long"
         ),
         "vector-links",
     )

@@ -175,6 +175,46 @@ def test_near_vectors(spark):
     assert all(rows[i] == 0 for i in range(200, 204))
 
 
+def test_near_vectors_at_the_threshold_and_odd_rows(spark):
+    r = np.random.default_rng(8)
+    a = r.standard_normal((1500, 32))
+    b = r.standard_normal((1500, 32))
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    angle = np.arccos(0.98 + 1e-4)
+    vectors = [(k, x.tolist(), 1) for k, x in enumerate(np.concatenate([a, np.cos(angle) * a + np.sin(angle) * b]))]
+    schema = "vec_id long, embedding array<double>, label int"
+    for block in (2048, 2):
+        got = {x.vec_id: x for x in collision_count.near_vectors(spark.createDataFrame(vectors, schema), block=block).collect()}
+        assert all(got[k].n_links >= 1 and got[k + 1500].component_id <= k for k in range(1500))
+        if block == 2048:
+            before = got
+    assert got == before
+    clash = spark.createDataFrame(
+        [(1, [1.0, 0.0], 1, 5), (1, [0.0, 1.0], 1, 5), (2, [1.0, 0.01], 1, 5), (3, [0.01, 1.0], 1, 5), (3, [0.01, 1.0], 1, 5), (4, [], 1, 5), (None, [1.0, 0.0], 1, 5)],
+        schema + ", node int",
+    )
+    got = sorted(map(tuple, collision_count.near_vectors(clash).collect()), key=str)
+    assert len(got) == 7 and {x[:3] for x in got if x[0] in (2, 4)} == {(2, 1, 1), (4, 0, 4)}
+    assert collision_count.near_vectors(clash.where("false")).count() == 0
+
+
+def test_pairs_counted_grow_with_the_vectors(spark):
+    def counted(n):
+        r = np.random.default_rng(3)
+        centres = r.standard_normal((n // 4, 64))
+        x = np.repeat(centres, 4, axis=0) + 0.05 * r.standard_normal((n, 64))
+        units = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float64)
+        rows = [(k, k, "a", 64, u.tobytes()) for k, u in enumerate(units)]
+        nodes = spark.createDataFrame(rows, "node long, digest long, label string, dim int, unit binary")
+        _, busy = collision_count.cells(nodes, *collision_count.layout(n, 0.98), 2048)
+        return busy.agg(F.sum(F.col("size") * (F.col("size") - 1) / 2)).first()[0]
+
+    few, many = counted(2000), counted(8000)
+    assert many <= 6 * few and many < 0.02 * 8000 * 7999 / 2
+
+
 def test_token_counts(spark, odd):
     library = Tokenizer.from_file(WORDS)
     got = token_counts.count_tokens(odd, WORDS).collect()
