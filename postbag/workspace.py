@@ -31,11 +31,14 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{root(spark)}/postbag/{label}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage."""
+def keep(df: DataFrame, label: str, path: str | None = None, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts the lineage.
+
+    ``codec`` is how Parquet compresses it, if not as the session says.
+    """
     spark = df.sparkSession
     target = path or fresh(spark, label)
-    df.write.mode("overwrite").parquet(target)
+    df.write.mode("overwrite").parquet(target, compression=codec)
     return spark.read.schema(df.schema).parquet(target)
 
 
@@ -46,13 +49,13 @@ class Stages:
     Only folders that this object has made are ever touched.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, codec: str | None = None):
+        self.spark, self.codec = spark, codec
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = fresh(self.spark, label)
-        table = keep(df, label, path)
+        table = keep(df, label, path, self.codec)
         self.paths[id(table)] = (table, path)
         return table
 
