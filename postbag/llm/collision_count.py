@@ -24,7 +24,8 @@ from postbag.llm.components import components
 WINDOW = 2.0  # half a window, in standard deviations of a projected difference at the threshold
 LEAD = 5.0  # the same for the sorted projection, whose windows name the pairs that are counted
 CELL = 7.5  # width of a cell on a leading projection, in the same unit
-MISS = 1e-6  # share of the pairs at the threshold that share no cell of any table
+MISS = 1e-5  # share of the pairs at the threshold that share no cell of any table
+UNLIKE = 0.2  # unlike vectors of the same label that a vector may expect in its cell
 CHUNK = 1 << 20  # pairs looked at together
 
 
@@ -53,12 +54,12 @@ def _meet(width: float, spread: float) -> float:
 def layout(nodes: int, threshold: float) -> tuple[float, int, int]:
     """Width of cells, leading projections per table, and tables.
 
-    So many projections that unlike vectors share a cell with about one of all ``nodes``, then so many tables
-    that a pair at the threshold shares none with a chance of ``MISS`` at most.
+    So many projections that a vector shares its cell with ``UNLIKE`` of ``nodes`` unlike ones at most, then so
+    many tables that a pair at the threshold shares none with a chance of ``MISS`` at most.
     """
     spread = max(sqrt(max(2 - 2 * threshold, 0)), 1e-6)
     width = min(CELL * spread, 2.0)
-    depth = max(4, ceil(log(max(nodes, 2)) / -log(_meet(width, sqrt(2)))))
+    depth = max(4, ceil(log(max(nodes, 2) / UNLIKE) / -log(_meet(width, sqrt(2)))))
     return width, depth, ceil(log(MISS) / log1p(-(_meet(width, spread) ** depth)))
 
 
@@ -74,6 +75,8 @@ def cell_keys(units: np.ndarray, width: float, depth: int, tables: int) -> np.nd
     Vectors and directions are rounded so that every sum is exact, whatever the order of its terms: a
     vector has the same keys wherever they are worked out.
     """
+    if len(units) > 1000:
+        return np.concatenate([cell_keys(units[k : k + 1000], width, depth, tables) for k in range(0, len(units), 1000)])
     lead, start = _leads(units.shape[1], depth * tables)
     cells = np.floor(np.round(units * (1 << 20)) @ lead / (width * (1 << 36)) + start).astype(np.int64).view(np.uint64)
     cells = cells.reshape(len(units), tables, depth)
@@ -118,10 +121,8 @@ def _keyed(width: float, depth: int, tables: int):
             dims = batch.column(0).to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
-                keys = np.empty((part.num_rows, tables), np.int64)
-                for k in range(0, part.num_rows, 1000):
-                    units = np.frombuffer(b"".join(part.column(1)[k : k + 1000].to_pylist()), np.float64).reshape(-1, dim)
-                    keys[k : k + 1000] = cell_keys(units, width, depth, tables)
+                units = np.frombuffer(b"".join(part.column(1).to_pylist()), np.float64).reshape(-1, dim)
+                keys = cell_keys(units, width, depth, tables)
                 ends = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * tables)
                 lists = pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], part.column(0), lists], ["node", "digest", "label", "dim", "cells"])
@@ -181,7 +182,8 @@ def _linked(threshold: float, projections: int, width: float, depth: int, tables
     def run(group: pd.DataFrame) -> pd.DataFrame:
         """Links inside one unit of work: how many each vector has, and the smallest vector it reaches.
 
-        A pair that shares a cell of an earlier table too is counted there, so every pair counts once.
+        A unit of work is a pair of blocks of one cell, or many small cells, which are laid side by side on
+        the sorted projection, too far apart for any window. A pair that shares a cell of an earlier table too is counted there, so every pair counts once.
         """
         units = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(group), -1)
         first = group["first"].to_numpy()
@@ -191,13 +193,16 @@ def _linked(threshold: float, projections: int, width: float, depth: int, tables
         pairs = [np.empty((0, 2), np.int64)]
         if len(at_a) and len(at_b):
             shadows = units @ directions(units.shape[1], projections)
-            earlier = cell_keys(units, width, depth, tables)[:, : int(group["table"].iloc[0])]
-            for i, j in windows(shadows[at_a, 0], shadows[at_b, 0], LEAD * spread + 1e-9):
+            table = group["table"].to_numpy()
+            earlier = cell_keys(units, width, depth, tables)[:, : table.max()]
+            cell = group.groupby(["label", "table", "key"], sort=False).ngroup().to_numpy()
+            line = shadows[:, 0] + cell * (4 * np.abs(shadows[:, 0]).max() + 2 * LEAD)
+            for i, j in windows(line[at_a], line[at_b], LEAD * spread + 1e-9):
                 i, j = at_a[i], at_b[j]
                 if not split:
                     i, j = i[i < j], j[i < j]
-                for keys in earlier.T:
-                    apart = keys[i] != keys[j]
+                for k, keys in enumerate(earlier.T):
+                    apart = (keys[i] != keys[j]) | (table[i] <= k)
                     i, j = i[apart], j[apart]
                 i, j = colliding(shadows[:, 1:], i, j, WINDOW * spread + 1e-9, least)
                 same = np.empty(len(i))
@@ -234,7 +239,7 @@ def cells(nodes: DataFrame, width: float, depth: int, tables: int, block: int) -
     )
     ones = members.where("size > 1").groupBy("label", "dim", "size", "set0", "set1")
     ones = ones.agg(F.min(F.struct("table", "key")).alias("cell")).select("label", "dim", "size", "cell.*")
-    return rows, ones.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    return rows, keep(ones.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "vector-busy")
 
 
 def near_vectors(
@@ -251,9 +256,10 @@ def near_vectors(
     Rows are linked when their labels are equal and not NULL and their cosine, in double precision, is
     ``threshold`` or more. Equal directions become one node with a number of copies. Nodes of a label are
     sorted into cells of several leading projections at once, in as many tables as ``layout`` says; a pair at
-    the threshold shares none but for one in a million. Cells are dealt into blocks of about ``block`` nodes, and
-    each pair of blocks is one group, in which collisions are counted and candidates verified. Groups are
-    of bounded size, and give a count and a root per node, never pairs.
+    the threshold shares none but for one in 100,000. Large cells are dealt into blocks of about ``block`` nodes,
+    and each pair of blocks is one group, in which collisions are counted and candidates verified; small cells
+    are gathered to groups of about as many nodes. Groups are of bounded size, and give a count and a root per
+    node, never pairs.
 
     Vectors that are NULL, empty, zero or hold NULL or non-finite numbers link with nothing, nor do those
     of another length, without label or without identifier. Rows that repeat an identifier are counted as
@@ -265,8 +271,10 @@ def near_vectors(
     same = ["label", "dim", "unit"]
     nodes = units.groupBy(*same).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     nodes = keep(nodes.withColumn("digest", F.xxhash64(*same)), "vector-nodes")  # an id may stand for several vectors
-    how = layout(nodes.count(), threshold)
+    most = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0]
+    how = layout(most or 0, threshold)
     keyed, busy = cells(nodes, *how, block)
+    small = busy.where("blocks = 1").agg(F.sum("size")).first()[0] or 0
     lane = ["label", "dim", "table", "key"]
     own = F.pmod(F.xxhash64("node", "digest"), F.col("blocks")).cast("int").alias("own")
     placed = keyed.join(busy.drop("size"), lane).select(*lane, "node", "digest", "blocks", own)
@@ -274,10 +282,12 @@ def near_vectors(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least(k, "own").alias("low"), F.greatest(k, "own").alias("high"), (k >= F.col("own")).alias("first")),
     )
-    tasks = placed.select(*lane, "node", "digest", F.explode(work).alias("w")).select(*lane, "node", "digest", "w.*")
+    tasks = placed.select(*lane, "node", "digest", "blocks", F.explode(work).alias("w")).select(*lane, "node", "digest", "blocks", "w.*")
     tasks = tasks.join(nodes.select("node", "digest", "copies", "unit"), ["node", "digest"]).drop("digest")
+    gathered = F.struct(F.lit("").alias("label"), F.lit(-1).alias("table"), F.pmod(F.xxhash64(*lane), F.lit(small // block + 1)).alias("key"))
+    tasks = tasks.withColumn("of", F.when(F.col("blocks") == 1, gathered).otherwise(F.struct("label", "table", "key"))).drop("blocks")
     found = keep(
-        tasks.groupBy(*lane, "low", "high").applyInPandas(
+        tasks.groupBy("dim", "of", "low", "high").applyInPandas(
             _linked(threshold, projections, *how), "node long, links long, root long"
         ),
         "vector-links",
