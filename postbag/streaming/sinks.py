@@ -1,11 +1,12 @@
 """Writing streams to tables in the shared folder, safe to replay."""
 
 from collections.abc import Callable, Sequence
+from threading import Condition
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from postbag.operators.history import latest_by_key
 from postbag.sources.contacts import load_lines
@@ -141,8 +142,48 @@ def read_contact_sink(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return tuple(spark.read.parquet(f"{path}/{name}").drop(BATCH) for name in ("contacts", "runs"))
 
 
+class LateRows(StreamingQueryListener):
+    """Rows read, and rows left out as too late, over all batches of the streams of a session.
+
+    Add it with ``spark.streams.addListener`` before a stream starts. A stream that is started again from its
+    checkpoint goes on under its id; a batch that is run again counts once. State operators see what was
+    combined before the shuffle, so a late row of an aggregate stands for those combined with it.
+    """
+
+    def __init__(self):
+        self.counts: dict[str, tuple[int, int, int, int, int]] = {}  # batch, its two figures, those of all before
+        self.ended: set[str] = set()
+        self.changed = Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        seen, late = p.numInputRows, sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        last, had_seen, had_late, all_seen, all_late = self.counts.get(str(p.id), (-1, 0, 0, 0, 0))
+        if p.batchId > last:
+            self.counts[str(p.id)] = (p.batchId, seen, late, all_seen + had_seen, all_late + had_late)
+        elif p.batchId == last:  # without data, or once more
+            self.counts[str(p.id)] = (last, max(seen, had_seen), max(late, had_late), all_seen, all_late)
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def of(self, query: StreamingQuery, wait: float = 60) -> tuple[int, int]:
+        """Rows read and rows too late, so far; of a stream that has ended, after its last event has come."""
+        if not query.isActive:
+            with self.changed:
+                if not self.changed.wait_for(lambda: str(query.runId) in self.ended, wait):
+                    raise TimeoutError("the end of the stream was not reported")
+        _, seen, late, all_seen, all_late = self.counts.get(str(query.id), (-1, 0, 0, 0, 0))
+        return all_seen + seen, all_late + late
+
+
 def dropped_rows(query: StreamingQuery) -> int:
-    """Rows left out as too late, over the batches this query object has reported."""
+    """Rows left out as too late, over the last batches (100 by default); ``LateRows`` counts over all."""
     return sum(
         int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators
     )

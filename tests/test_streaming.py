@@ -41,6 +41,34 @@ def test_counts_go_on_after_a_restart_and_leave_late_rows_out(spark):
     assert counts() == {1: 1, 2: 1, 3: 1}
 
 
+def test_late_rows_are_counted_over_all_batches_and_restarts(spark):
+    inbox, out = workspace.fresh(spark, "inbox"), workspace.fresh(spark, "counts")
+    listener = sinks.LateRows()
+    spark.streams.addListener(listener)
+    try:
+
+        def run(batches):
+            for values in batches:
+                rows(spark, *values).coalesce(1).write.mode("append").parquet(inbox)
+            stream = spark.readStream.schema(schema(spark)).option("maxFilesPerTrigger", 1).parquet(inbox)
+            counts = stream_daily_counts(sources.with_event_time(stream, delay="1 hour"))
+            return sinks.run_to_end(sinks.append_sink(counts, out, out + "-checkpoint"))
+
+        # a batch is judged by the mark of the one before the last
+        first = run([[(1, "2024-01-05 10:00:00", "a")], [(5, "2024-01-05 10:30:00", "a")], [(2, "2024-01-01 10:00:00", "a")]])
+        assert listener.of(first) == (3, 1)
+        again = run([[(3, "2024-01-01 10:00:00", "a")], [(4, "2024-01-05 11:00:00", "a")]])
+        assert again.id == first.id and listener.of(again) == (5, 2)
+        plain, done = workspace.fresh(spark, "many"), workspace.fresh(spark, "copied")
+        spark.range(0, 110, 1, 110).write.parquet(plain)
+        many = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(plain)
+        query = many.writeStream.option("checkpointLocation", done + "-checkpoint").trigger(availableNow=True).start(done, "parquet")
+        sinks.run_to_end(query)
+        assert listener.of(query) == (110, 0) and sinks.rows_seen(query) < 110
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def test_running_counts_hold_the_open_day(spark):
     inbox, out = workspace.fresh(spark, "inbox"), workspace.fresh(spark, "counts")
 
