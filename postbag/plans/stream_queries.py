@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postbag import workspace
+from postbag.operators.decisions import await_decision
 from postbag.plans.decision_queries import (
     REVIEW_DAYS,
     SQL_MESSAGE_DECISIONS,
@@ -21,8 +22,9 @@ from postbag.streaming.sinks import (
 )
 from postbag.streaming.sources import stream_table, with_event_time
 
-#: Where the rows of the decision stream are cut into three goes.
-CUTS = ("1900-01-01", "1997-03-01", "1999-05-01", "2200-01-01")
+#: Where the rows of the decision stream are cut into three goes, open at both ends.
+CUTS = (None, "1997-03-01", "1999-05-01", None)
+EPOCH = "1970-01-01"
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,20 +65,43 @@ def late_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decisions_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders and their lines in three goes by time, each a restart of the stream; what is certain by the end."""
+    """Orders and their lines in three goes by time, each a restart of the stream, and a last one that ends it.
+
+    The last go brings a row behind the newest window, so that every draft is decided or has timed out. Orders
+    that a stream by event time cannot take, without a key or a time or from before its clock, are decided beside it.
+    """
     orders, lines = order_drafts(table(spark, folder, "orders")), line_decisions(table(spark, folder, "lineitem"))
     drafts, presses, out = (workspace.fresh(spark, name) for name in ("drafts", "presses", "stream-decisions"))
-    decided = None
-    for start, end in zip(CUTS, CUTS[1:]):
-        for rows, path in ((orders, drafts), (lines, presses)):
-            rows.where((F.col("ts") >= start) & (F.col("ts") < end)).write.mode("append").parquet(path)
+
+    def arrive(new_drafts: DataFrame, new_presses: DataFrame) -> DataFrame:
+        for rows, path in ((new_drafts, drafts), (new_presses, presses)):
+            rows.write.mode("append").parquet(path)
         streams = [with_event_time(stream_table(spark, p, t.schema)) for t, p in ((orders, drafts), (lines, presses))]
         decided = stream_decisions(*streams, timeout_seconds=REVIEW_DAYS * 86_400)
         decided = decided.withColumns(
             {c: F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(c).cast("timestamp_ntz")) for c in ("drafted_at", "decided_at")}
         )
         run_to_end(append_sink(decided, out, out + "-checkpoint"))
-    return spark.read.schema(decided.schema).parquet(out)
+        return spark.read.schema(decided.schema).parquet(out)
+
+    for start, end in zip(CUTS, CUTS[1:]):
+        since = F.col("ts").isNotNull() if start is None else F.col("ts") >= start
+        until = F.lit(True) if end is None else F.col("ts") < end
+        arrive(orders.where(since & until), lines.where(since & until))
+    newest = orders.select("ts").unionByName(lines.select("ts")).agg(F.max("ts").alias("ts"))
+    last = newest.select(
+        F.lit(-1).cast(orders.schema["message_id"].dataType).alias("message_id"),
+        (F.col("ts") + F.expr(f"INTERVAL {REVIEW_DAYS + 1} DAYS")).alias("ts"),
+        F.lit("Enter").alias("key"),
+    )
+    decided = arrive(last.drop("key"), last)
+    # Spark takes rows up to 1970 for late from the start.
+    early = F.col("ts") <= EPOCH
+    beside = orders.where(F.col("message_id").isNull() | F.col("ts").isNull() | early)
+    beside = beside.groupBy("message_id").agg(F.min("ts").alias("ts"))
+    near = lines.where(F.col("ts") <= F.lit(EPOCH).cast("timestamp_ntz") + F.expr(f"INTERVAL {REVIEW_DAYS} DAYS"))
+    beside = await_decision(beside, near, timeout=REVIEW_DAYS * 86_400).withColumnRenamed("ts", "drafted_at")
+    return decided.unionByName(beside.join(decided.select("message_id"), "message_id", "left_anti"))
 
 
 QUERIES = {
@@ -98,7 +123,5 @@ SQL = {
       SELECT day, count(*) AS sent FROM d, m
       WHERE day_end <= last_mark AND (event_type <> 'error' OR day_end > first_mark) GROUP BY 1""",
     "stream_decisions": f"""{SQL_MESSAGE_DECISIONS}
-      , mark AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) AS mark)
-      SELECT message_id, ts AS drafted_at, decided_at, pressed, {SQL_DECISION} AS decision FROM j, mark
-      WHERE nth = 1 AND coalesce(decided_at, ts + to_days(CAST({REVIEW_DAYS} AS INTEGER))) < mark""",
+      SELECT message_id, ts AS drafted_at, decided_at, pressed, {SQL_DECISION} AS decision FROM j WHERE nth = 1""",
 }

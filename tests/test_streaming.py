@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from postbag import schema as S
 from postbag import workspace
 from postbag.operators.history import latest_by_key
+from postbag.plans.stream_queries import decisions_stream
 from postbag.streaming import sinks, sources
 from postbag.streaming.operators import stream_daily_counts, stream_decisions
 
@@ -187,3 +188,18 @@ def test_decisions_are_exact_and_their_state_is_freed(spark):
     assert len(got) == 6 and got["end"] == (None, None)
     got, kept = arrive([("q", "12:00:00")], [("q", "12:30:00", "Enter")])
     assert len(got) == 7 and got["z"] == ("Enter", "go") and kept <= 2
+
+
+def test_every_order_is_decided_or_timed_out_by_the_end_of_the_stream(spark, tmp_path):
+    def at(text):
+        return text and dt.datetime.fromisoformat(text)
+
+    orders = [(1, "1850-01-01"), (2, "1997-02-20"), (3, "2024-01-01"), (4, "2024-01-30"), (5, "2250-01-01"), (6, None)]
+    lines = [(1, "1850-01-02"), (2, "1997-03-05"), (3, "2024-02-01"), (4, "2024-02-29"), (5, "2250-01-02"), (6, "2024-01-01"), (7, None)]
+    spark.createDataFrame([(i, at(t)) for i, t in orders], "o_orderkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(
+        [(i, at(t), "F", "A") for i, t in lines], "l_orderkey long, l_shipdate timestamp_ntz, l_linestatus string, l_returnflag string"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.message_id: (r.drafted_at, r.decided_at, r.decision) for r in decisions_stream(spark, str(tmp_path)).collect()}
+    answered = {1: "1850-01-02", 2: "1997-03-05", 4: "2024-02-29", 5: "2250-01-02"}
+    assert got == {i: (at(t), at(answered.get(i)), "go" if i in answered else None) for i, t in orders}
