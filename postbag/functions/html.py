@@ -2,7 +2,6 @@
 
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,10 +155,9 @@ def parse_element_text(html: str | None, tag: str = "main") -> str | None:
 
 
 def element_text_parsed(html: Column, tag: str = "main") -> Column:
-    """As ``element_text``, by a real parser in Arrow batches: for nested tags and all entities."""
-
-    @F.pandas_udf("string")
-    def parse(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: parse_element_text(page, tag))
+    """As ``element_text``, by a real parser in Python: for nested tags and all entities.
 
+    Pages go to it a hundred at a time: an Arrow batch has up to 10,000, whatever their length.
+    """
+    parse = F.udf(lambda page: parse_element_text(page, tag), "string", useArrow=False)
     return parse(html)

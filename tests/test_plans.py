@@ -33,6 +33,13 @@ def test_native_plans(spark, sf, name):
     assert python == (name in PYTHON)
 
 
+def test_pages_are_parsed_a_few_at_a_time(spark, sf):
+    """An Arrow batch holds up to 10,000 pages, however long they are; pickled ones come a hundred at a time."""
+    for name in sorted(PYTHON):
+        text = plan(entry.queries()[name](spark, sf))
+        assert "BatchEvalPython" in text and "ArrowEvalPython" not in text
+
+
 def test_a_day_is_looked_up_by_range_in_the_scan(spark, sf):
     log = spark.read.parquet(f"{sf}/events.parquet")
     text = plan(quota.sent_today(log, dt.date(2024, 1, 15), "CET"))
