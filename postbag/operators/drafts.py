@@ -3,9 +3,9 @@
 import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from postbag import workspace
@@ -118,21 +118,17 @@ def ask_model(
     are added. A prompt that failed is asked again by the next run.
     """
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(rows: Iterator[Row]) -> Iterator[tuple]:
         model = make_model()
-        for frame in frames:
-            prompts = [[(m["role"], m.get("content", "")) for m in json.loads(p)] for p in frame["_asked"]]
-            answers: list[tuple[str | None, str | None]] = []
-            for i in range(0, len(prompts), batch):
-                answers += _answer(model, prompts[i : i + batch])
-            yield pd.DataFrame(
-                {
-                    "_prompt": frame["_prompt"],
-                    "_rows": frame["_rows"],
-                    "_value": pd.Series([a[0] for a in answers], dtype=object, index=frame.index),
-                    "_error": pd.Series([a[1] for a in answers], dtype=object, index=frame.index),
-                }
-            )
+        while group := list(islice(rows, batch)):
+            prompts = [[(m["role"], m.get("content", "")) for m in json.loads(r["_asked"])] for r in group]
+            for row, answer in zip(group, _answer(model, prompts)):
+                yield row["_prompt"], row["_rows"], *answer
+
+    def asked_of(prompts: DataFrame) -> DataFrame:
+        # Pickled rows come by their size, an Arrow batch by up to 10,000 of any length.
+        answers = prompts.rdd.mapPartitions(ask)
+        return prompts.sparkSession.createDataFrame(answers, ANSWERS, verifySchema=False)
 
     keyed = asked.where(F.col("_asked").isNotNull()).select(F.sha2("_asked", 256).alias("_prompt"), "_asked")
     rows = F.count(F.lit(1)).alias("_rows")
@@ -140,7 +136,7 @@ def ask_model(
         prompts = keyed.groupBy("_prompt").agg(rows, F.any_value("_asked").alias("_asked"))
         if parallelism:
             prompts = prompts.repartition(parallelism, "_prompt")
-        return workspace.keep(prompts.mapInPandas(ask, ANSWERS), label, path)
+        return workspace.keep(asked_of(prompts), label, path)
     known = stored_answers(asked.sparkSession, store)
     distinct = keyed.groupBy("_prompt").agg(rows, F.any_value("_asked").alias("_asked"))
     new = distinct.join(known.select("_prompt"), "_prompt", "left_anti")
@@ -149,7 +145,7 @@ def ask_model(
     batch_path = f"{store}/{ANSWER_BATCH}={uuid.uuid4().hex}"
     if tasks:
         by_task = placed.repartitionById(tasks, F.expr(f"int(_nth div {calls})"))
-        added = workspace.keep(by_task.mapInPandas(ask, ANSWERS), label, batch_path)
+        added = workspace.keep(asked_of(by_task), label, batch_path)
         failed = added.where("_error IS NOT NULL").select("_prompt", "_value", "_error")
     answers = stored_answers(asked.sparkSession, store)
     if tasks:

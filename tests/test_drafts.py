@@ -157,3 +157,19 @@ def test_stores_answers_of_two_runs_once(spark):
         rows = [("p", 1, value, None), ("q", 1, None, "failed")]
         workspace.keep(spark.createDataFrame(rows, D.ANSWERS), "answers", f"{store}/{D.ANSWER_BATCH}={batch}")
     assert [tuple(r) for r in D.stored_answers(spark, store).collect()] == [("p", "x", None)]
+
+
+def test_a_task_does_not_hold_all_its_prompts(spark):
+    """600 prompts of 200 KB each in one task: the memory of its worker does not grow with their number."""
+
+    def make_model():
+        def held():
+            with open("/proc/self/statm") as f:
+                return int(f.read().split()[1]) * 4096 // 1_000_000
+
+        start = held()
+        return lambda prompts: [str(held() - start)] * len(prompts)
+
+    asked = spark.range(600).select(F.to_json(D.chat(("human", F.concat("id", F.repeat(F.lit("x"), 200_000))))).alias("_asked"))
+    answers = D.ask_model(asked, make_model, parallelism=1).collect()
+    assert len(answers) == 600 and max(int(r["_value"]) for r in answers) < 100
