@@ -137,20 +137,20 @@ def ask_model(
         if parallelism:
             prompts = prompts.repartition(parallelism, "_prompt")
         return workspace.keep(asked_of(prompts), label, path)
+    # What is to be asked is found by digests alone; texts are shuffled only if there is something new.
+    counts = keyed.groupBy("_prompt").agg(rows)
     known = stored_answers(asked.sparkSession, store)
-    distinct = keyed.groupBy("_prompt").agg(rows, F.any_value("_asked").alias("_asked"))
-    new = distinct.join(known.select("_prompt"), "_prompt", "left_anti")
-    placed, _ = ranged_sum(new, [F.col("_prompt")], None, "_nth")
+    placed, _ = ranged_sum(counts.join(known.select("_prompt"), "_prompt", "left_anti"), [F.col("_prompt")], None, "_nth")
     tasks = -(-placed.count() // calls)
     batch_path = f"{store}/{ANSWER_BATCH}={uuid.uuid4().hex}"
     if tasks:
-        by_task = placed.repartitionById(tasks, F.expr(f"int(_nth div {calls})"))
+        texts = keyed.groupBy("_prompt").agg(F.any_value("_asked").alias("_asked"))
+        by_task = placed.join(texts, "_prompt").repartitionById(tasks, F.expr(f"int(_nth div {calls})"))
         added = workspace.keep(asked_of(by_task), label, batch_path)
         failed = added.where("_error IS NOT NULL").select("_prompt", "_value", "_error")
     answers = stored_answers(asked.sparkSession, store)
     if tasks:
         answers = answers.unionByName(failed)
-    counts = keyed.groupBy("_prompt").agg(rows)
     return workspace.keep(counts.join(answers, "_prompt").select("_prompt", "_rows", "_value", "_error"), label, path)
 
 

@@ -173,3 +173,16 @@ def test_a_task_does_not_hold_all_its_prompts(spark):
     asked = spark.range(600).select(F.to_json(D.chat(("human", F.concat("id", F.repeat(F.lit("x"), 200_000))))).alias("_asked"))
     answers = D.ask_model(asked, make_model, parallelism=1).collect()
     assert len(answers) == 600 and max(int(r["_value"]) for r in answers) < 100
+
+
+def test_new_prompts_are_placed_by_their_digests(spark, asked, monkeypatch):
+    """Texts are not part of the tables written to find out what is new, and a prompt with copies is asked once."""
+    kept, keep = [], workspace.keep
+    monkeypatch.setattr(workspace, "keep", lambda df, label, *more: kept.append((label, df.columns)) or keep(df, label, *more))
+    store = workspace.fresh(spark, "store")
+    prompts = asked.select(F.to_json(D.chat(("human", F.col("text")))).alias("_asked")).where("id % 3 < 2 AND id NOT IN (10, 11)")
+    for _ in range(2):
+        answers = D.ask_model(prompts, echo, store=store)
+        assert {r["_value"] for r in answers.collect()} == {"1:same", *(f"1:{i}" for i in range(60) if i % 3 == 1 and i != 10)}
+    ordered = [columns for label, columns in kept if label == "ordered"]
+    assert len(ordered) == 2 and not any("_asked" in columns for columns in ordered)
