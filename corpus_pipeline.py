@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postbag.llm import line_dedup, minhash, packing, toxicity
-from postbag.llm.common import keep
+from postbag.llm.common import keep, with_filter
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,20 +37,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat an id together with its text are one document, of which one row stays. A row without id
     is a document of its text's, behind all that have an id. Texts under one id count as one document; each
     different one stays where its document does.
+
+    Only rows whose document may have to go, or repeats, are shuffled; a filter of a fixed size tells which,
+    and what it lets through by chance is grouped and joined like the others and stays.
     """
-    body = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     place = F.shiftrightunsigned(F.xxhash64("text"), 2) + (1 << 62)
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), place).alias("node"),
-        F.struct(*docs.columns).alias("doc"),
-        F.struct(F.col("text").isNull(), body).alias("body"),
-    )
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), place).alias("node"), F.struct(*docs.columns).alias("doc"))
+    body = F.struct(F.col("doc.text").isNull(), F.md5(F.coalesce("doc.text", F.lit("")).cast("binary")))
     marked = minhash.near_duplicates(rows.select("node", "doc.text"), id_col="node")
     gone = marked.where("NOT kept").select(F.col("doc_id").alias("node")).distinct()
-    repeated = keep(rows.groupBy("node", "body").count().where("count > 1").select("node").distinct(), "repeated")
-    left = rows.join(gone, "node", "left_anti")
-    once = left.join(repeated, "node", "left_semi").groupBy("node", "body").agg(F.first("doc").alias("doc"))
-    return left.join(repeated, "node", "left_anti").select("doc.*").unionAll(once.select("doc.*")).select(docs.columns)
+    bodies = rows.select("node", body.alias("body")).groupBy("node", "body").count()
+    repeated = keep(bodies.where("count > 1").select("node").distinct(), "repeated")
+    flagged = with_filter(rows, "node", gone.unionAll(repeated), "flag")
+    # copies combine before they are shuffled; of a node that isn't repeated each group is one row
+    once = flagged.where("flag").withColumn("body", body).groupBy("node", "body").agg(F.first("doc").alias("doc"))
+    # an anti-join would be taken before the filter
+    once = once.join(gone.withColumn("gone", F.lit(True)), "node", "left").where("gone IS NULL")
+    return flagged.where("NOT flag").select("doc.*").unionAll(once.select("doc.*")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

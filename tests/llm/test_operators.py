@@ -26,6 +26,7 @@ from postbag.llm import (
     toxicity,
     warc,
 )
+from postbag.llm.common import with_filter
 from postbag.llm.components import components
 from postbag.workspace import Stages
 
@@ -413,3 +414,54 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     want = [(1, text, 0.5), (None, other, 1.0), (3, None, 0.1), (4, "", 0.2), (None, None, 0.3), (5, "short", None)]
     assert out.columns == docs.columns and got == sorted(want, key=repr)
     assert corpus_pipeline.drop_near_duplicates(spark, docs.where("false"), "").count() == 0
+
+
+def shuffled(node):
+    """Bytes that the shuffles of a plan wrote, before compression."""
+    name, kids = node.nodeName(), node.children()
+    inner = node.plan() if name.endswith("QueryStage") else node.executedPlan() if name == "AdaptiveSparkPlan" else None
+    own = node.metrics().apply("dataSize").value() if name == "Exchange" else 0
+    return own + sum(map(shuffled, [inner] if inner else [kids.apply(i) for i in range(kids.size())]))
+
+
+def test_pipeline_moves_no_text_that_stays_for_certain(spark, tmp_path):
+    """Of documents too many to broadcast their ids, near copies and repeated rows alone are shuffled, none lost."""
+    import corpus_pipeline
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(400)]
+    rows = [*enumerate(texts), (7, texts[7]), (400, texts[9] + " more"), (401, texts[9]), (None, "no id"), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+        got = sorted(map(tuple, out.collect()), key=repr)
+        moved = shuffled(out._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted([*enumerate(texts), (None, "no id")], key=repr)
+    assert 0 < moved < sum(map(len, texts)) / 5
+
+
+@pytest.mark.parametrize("bits", [1, 64, 1 << 26])
+def test_filter_of_keys_misses_none(spark, bits):
+    rows = spark.createDataFrame([(i, "t") for i in [*range(2000), 5, None]], "node long, flag2 string")
+    keys = spark.range(0, 2000, 100).select(F.col("id").alias("node")).unionAll(spark.range(5, 6))
+    out = with_filter(rows, "node", keys, "flag", bits)
+    flagged = [r.node for r in out.where("flag").collect()]
+    assert out.columns == ["node", "flag2", "flag"] and out.count() == 2002
+    assert {*range(0, 2000, 100), 5} <= {*flagged} and flagged.count(5) == 2
+    assert len(flagged) < 30 if bits > 64 else len(flagged) >= 22
+    assert with_filter(rows, "node", keys.where("false"), "flag", bits).where("flag").count() == 0
+
+
+def test_near_duplicates_are_the_same_behind_a_full_filter(spark, monkeypatch):
+    """With one bit every row counts as one that may go: the exact join decides."""
+    import corpus_pipeline
+
+    base = " ".join(f"word{k}" for k in range(60))
+    rows = [(i, f"{base} end{i}" if i % 3 else f"own{i} " + " ".join(f"o{i}x{k}" for k in range(50))) for i in range(30)]
+    docs = spark.createDataFrame([*rows, rows[0], (1, "other text of an id"), (2, "text of an id that goes"), (None, None)], "doc_id long, text string")
+    once = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=repr)
+    monkeypatch.setattr(corpus_pipeline, "with_filter", lambda *a: with_filter(*a, bits=1))
+    full = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=repr)
+    assert once == full and {r[0] for r in once} == {None, 1, *range(0, 30, 3)} and len(once) == 13
