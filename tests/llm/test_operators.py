@@ -3,10 +3,13 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from brute import near_duplicates as brute_near
@@ -370,6 +373,71 @@ def test_toxicity_odd_rows(spark, odd):
         assert kept.columns == odd.columns and kept.count() <= len(ODD)
 
 
+def toxicity_steps(texts, monkeypatch):
+    """What the workers of the model make of texts: counts of pieces, counts of steps, and coded rows."""
+    monkeypatch.setattr(toxicity, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    n = len(texts)
+    marked = pa.record_batch([pa.array(texts, pa.string()), pa.array([k % 3 == 0 for k in range(n)]), pa.array([k % 2 * 2 for k in range(n)])], names="abc")
+    tagged = pa.record_batch([marked.column(0), pa.array(range(n), pa.int64())], names="ab")
+    contexts, firsts = {b"w1 ": 1, b"w2 ": 2}, {int.from_bytes(b"w1", "big"): 0, int.from_bytes(b" x", "big"): 1}
+    ratios = np.arange(6, dtype=np.int64).reshape(3, 2)
+    return [
+        lambda: toxicity._counting(None)(iter([marked])),
+        lambda: toxicity._counting(contexts)(iter([marked])),
+        lambda: toxicity._coded(pa.int64(), contexts, firsts, ratios)(iter([tagged])),
+    ]
+
+
+def test_toxicity_workers_do_not_hold_texts(monkeypatch):
+    """Two million words in one batch, a thousand of them different: memory follows the latter."""
+    text = " ".join(f"w{k}" for k in range(1000))
+    for step in toxicity_steps([text] * 2000, monkeypatch):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in step())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and peak < 15e6
+
+
+def test_toxicity_small_chunks_change_nothing(monkeypatch):
+    """The bound on different words cuts chunks; counts, ratios and words of each text stay."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{int(r.expovariate(0.02))}longer{r.randrange(30)}" for _ in range(r.randrange(40))) for _ in range(300)] + [None, ""]
+
+    def outcome():
+        *counting, coding = toxicity_steps(texts, monkeypatch)
+        out = []
+        for step in counting:
+            sums = {}
+            for batch in step():
+                for key, *n in zip(*[c.to_pylist() for c in batch.columns]):
+                    sums[key] = sums.get(key, 0) + np.array(n)
+            out.append({k: n.tolist() for k, n in sums.items()})
+        chunks = {}
+        for batch in coding():
+            for x in batch.to_pylist():
+                chunks.setdefault(x["chunk"], []).append(x)
+        read = {}
+        for rows in chunks.values():
+            piece = {x["place"]: x["piece"] for x in rows if x["piece"] is not None}
+            (spelling,) = [np.frombuffer(zlib.decompress(x["codes"]), np.int32) for x in rows if x["codes"] and x["steps"] is None]
+            flat, ends = spelling[1 : spelling[0] + 1], spelling[spelling[0] + 1 :]
+            for x in rows:
+                if x["steps"] is not None:
+                    words = toxicity._unpacked(zlib.decompress(x["codes"]))
+                    spelt = sorted(b"".join(piece[p] for p in flat[ends[w] : ends[w + 1]]) for w in words)
+                    assert x["tag"] not in read
+                    read[x["tag"]] = (x["steps"], spelt)
+        return len(chunks), [*out, read]
+
+    few, before = outcome()
+    for name, value in (("CHUNK_WORDS", 50), ("WAITING", 70), ("OUT_ROWS", 7)):
+        monkeypatch.setattr(toxicity, name, value)
+    many, after = outcome()
+    assert few == 1 and many > 5 and len(after[2]) == len(texts)
+    assert before == after
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
