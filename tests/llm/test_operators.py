@@ -29,7 +29,7 @@ from postbag.llm import (
     toxicity,
     warc,
 )
-from postbag.llm.common import with_filter
+from postbag.llm.common import small_batches, with_filter
 from postbag.llm.components import components
 from postbag.workspace import Stages
 
@@ -399,6 +399,25 @@ def test_toxicity_workers_do_not_hold_texts(monkeypatch):
         assert rows and peak < 15e6
 
 
+def test_small_batches_follow_bytes(spark):
+    """Sixty texts of 100 KB are several batches inside, as many as before outside, and the setting is as it was."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    texts = spark.range(60, numPartitions=1).selectExpr("repeat('x', 100000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    def largest():
+        return max(x.n for x in texts.mapInArrow(sizes, "n long").collect())
+
+    with pytest.raises(ZeroDivisionError), small_batches(spark, "1m"):
+        assert largest() < 15
+        raise ZeroDivisionError
+    assert spark.conf.get(name, None) == before and largest() == 60
+
+
 def test_toxicity_small_chunks_change_nothing(monkeypatch):
     """The bound on different words cuts chunks; counts, ratios and words of each text stay."""
     r = random.Random(8)
