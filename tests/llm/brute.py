@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import accumulate
 
+import numpy as np
 import zstandard
 
 from postbag.llm import license_scan
@@ -156,3 +157,13 @@ def licenses(scanner, text: str) -> list[str]:
         if not any(x <= a and b <= y for x, y, _ in kept):
             kept.append((a, b, name))
     return [name for _, _, name in sorted(kept)]
+
+
+def logistic(features, toxic, ridge=1e-2):
+    """Weights of a logistic regression on the rows of two arrays, the constant first, by Newton steps."""
+    x = np.column_stack([np.ones(len(features)), features])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (toxic - p) - ridge * w)
+    return w
